@@ -62,10 +62,11 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
 
 # A1-A3, P9 ------------------------------------------------------------------
 def vector_audit(table: DataFrame, vec_col: str = "embedding", expected_dim: int | None = None,
-                 context_col: str | None = None, page_col: str | None = None) -> DataFrame:
+                 context_col: str | None = None, page_col: str | None = None,
+                 extra: tuple = ()) -> DataFrame:
     """Counts of the post-load audit in one pass: rows, rows with a vector,
     rows with a context, rows with a page number, wrong dimensions."""
-    aggs = [F.count(F.lit(1)).alias("total_rows"),
+    aggs = [*extra, F.count(F.lit(1)).alias("total_rows"),
             F.count_if(F.col(vec_col).isNotNull()).alias("with_vector")]
     if expected_dim is not None:
         aggs.append(F.count_if(F.size(vec_col) != expected_dim).alias("bad_dims"))

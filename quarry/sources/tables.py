@@ -11,10 +11,39 @@ TABLES = (
 )
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# Row keys of the test tables (unique per row).
+KEYS = {
+    "documents": "doc_id", "pages": "page_id", "embeddings": "vec_id",
+    "benchmark": "item_id", "conversations": "conv_id", "labels": "doc_id",
+    "events": "event_id",
+}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """One parquet table of a scale-factor folder (column pruning and
-    filters reach the scan because nothing is materialised here)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    filters reach the scan because nothing is materialised here).
+
+    With ``spread``, a table whose files give fewer scan partitions than
+    the cluster has cores is hash-partitioned by its key; on a cluster
+    reading many files this is a no-op, locally it keeps all cores busy.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = KEYS.get(name)
+    if spread and key is not None:
+        df = ensure_parallelism(df, key)
+    return df
+
+
+def ensure_parallelism(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-partition by ``key`` when the scan has fewer partitions than
+    cores. Deterministic (hash, not round robin), so a lost task is
+    recomputed with the same rows, and later joins or aggregations keyed
+    by ``key`` reuse the partitioning."""
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want, key)
+    return df
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
