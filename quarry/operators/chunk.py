@@ -60,6 +60,7 @@ def token_chunks(docs: DataFrame, size: int = TOKEN_CHUNK_SIZE,
         ).alias("_chunks"),
     )
     return (out.select(F.col(id_col), *[F.col(k) for k in keep],
+                       F.size("_chunks").alias("n_chunks"),
                        F.posexplode("_chunks").alias("chunk_index", "text"))
             .withColumn("chunk_id", chunk_id(id_col, "chunk_index")))
 
@@ -88,7 +89,7 @@ def first_lines(text, n: int = 2) -> Column:
 
 
 # T2 -------------------------------------------------------------------------
-HEADING = r"^(#+)\s(.*)$"
+HEADING = r"(?s)^(#+)\s(.*)"
 MAX_LEVEL = 6
 
 
@@ -113,9 +114,9 @@ def markdown_sections(docs: DataFrame, id_col: str = "doc_id",
     level = F.length(F.regexp_extract("line", HEADING, 1))
     lines = lines.withColumn("level", F.when(~inside & (level > 0), level))
     lines = lines.withColumn("title", F.when(F.col("level").isNotNull(),
-                                             F.regexp_extract("line", HEADING, 2)))
+                                             F.trim(F.regexp_extract("line", HEADING, 2))))
     lines = lines.withColumn("section_index",
-                             F.sum(F.col("level").isNotNull().cast("int")).over(w_upto))
+                             F.sum(F.col("level").isNotNull().cast("int")).over(w_upto).cast("int"))
     # For each level j: position and title of the last heading of level j
     # strictly before this line.
     for j in range(1, MAX_LEVEL + 1):

@@ -1,3 +1,248 @@
-"""Registered checks."""
+"""Registered checks: page conversion, Markdown, chunking, enrichment,
+hashed embeddings and the composed ingest chain."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions.text import sentences
+from quarry.operators import chunk as C
+from quarry.operators.convert import blocks_to_markdown, page_blocks
+from quarry.operators.embed import embed_input, hash_embed_sparse
+from quarry.operators.enrich import (context_or_default, context_prompt, contextual_chunks,
+                                     extractive_context, lead_sentence)
+from quarry.plans.registry import Tables, register
+from quarry.plans.sqlparts import terms_expr, token_chunks_cte
+
+# ---------------------------------------------------------------------------
+# SQL builders
+# ---------------------------------------------------------------------------
+
+
+def _blocks_cte() -> str:
+    h = "html"
+    for tag in ("script", "style", "nav", "footer"):
+        h = f"regexp_replace({h}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    h = f"regexp_replace({h}, '(?s)<!--.*?-->', ' ', 'g')"
+    close = "h1|p|li|ul|article|div|body|html|title|head"
+    h = f"regexp_replace({h}, '(?i)</({close})\\s*>', chr(1), 'g')"
+    h = f"regexp_replace({h}, '(?i)<(h1|p|li|title)(\\s[^>]*)?>', chr(1) || '\\1' || chr(2), 'g')"
+    return f"""
+_h AS (SELECT page_id, string_split({h}, chr(1)) AS parts FROM pages),
+_pc AS (SELECT page_id, unnest(parts) AS piece, unnest(range(len(parts))) AS block_pos FROM _h),
+blocks AS (SELECT page_id, CAST(block_pos AS INTEGER) AS block_pos,
+                  lower(split_part(piece, chr(2), 1)) AS kind,
+                  trim(regexp_replace(regexp_replace(split_part(piece, chr(2), 2), '<[^>]*>', ' ', 'g'),
+                                      '\\s+', ' ', 'g')) AS text
+           FROM _pc WHERE contains(piece, chr(2)))"""
+
+
+def _markdown_docs_sql() -> str:
+    first = "split_part(text, chr(10), 1)"
+    return (f"SELECT doc_id, source, '# ' || source || chr(10) || '## Document ' || CAST(doc_id AS VARCHAR)"
+            f" || chr(10) || {first} || chr(10) || '```' || chr(10) || '# not a heading' || chr(10)"
+            f" || '```' || chr(10) || '### Details' || chr(10) || substr(text, length({first}) + 2) AS text"
+            f" FROM documents")
+
+
+def _sections_cte(src: str) -> str:
+    head = "'(?s)^(#+)\\s(.*)'"
+    w_before = "(PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    w_upto = "(PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    lasts = ",\n".join(
+        f"last_value(CASE WHEN level = {j} THEN pos END IGNORE NULLS) OVER {w_before} AS p{j}, "
+        f"last_value(CASE WHEN level = {j} THEN title END IGNORE NULLS) OVER {w_before} AS t{j}"
+        for j in range(1, 7))
+    parts = []
+    for j in range(1, 7):
+        shallower = ", ".join([f"coalesce(p{i}, -1)" for i in range(1, j)] + ["-1"])
+        parts.append(f"CASE WHEN level > {j} AND p{j} IS NOT NULL AND p{j} > greatest({shallower}) "
+                     f"THEN t{j} END")
+    anc = f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
+    return f"""
+_md AS ({src}),
+_l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+              unnest(range(len(string_split(text, chr(10))))) AS pos FROM _md),
+_f AS (SELECT *, CASE WHEN starts_with(ltrim(line), '```') THEN 1 ELSE 0 END AS fence FROM _l),
+_g AS (SELECT *, coalesce(sum(fence) OVER {w_before}, 0) AS fences_before FROM _f),
+_hd AS (SELECT *, CASE WHEN fences_before % 2 = 0 AND fence = 0
+                         AND length(regexp_extract(line, {head}, 1)) > 0
+                       THEN length(regexp_extract(line, {head}, 1)) END AS level FROM _g),
+_t AS (SELECT *, CASE WHEN level IS NOT NULL THEN trim(regexp_extract(line, {head}, 2)) END AS title,
+              sum(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) OVER {w_upto} AS section_index
+       FROM _hd),
+_a AS (SELECT *, {lasts} FROM _t),
+_pth AS (SELECT doc_id, pos, line, section_index,
+                CASE WHEN level IS NOT NULL THEN
+                  CASE WHEN len({anc}) = 0 THEN '/' ELSE '/' || array_to_string({anc}, '/') || '/' END
+                END AS path
+         FROM _a),
+sections AS (SELECT doc_id, CAST(section_index AS INTEGER) AS section_index,
+                    coalesce(max(path), '/') AS header_path,
+                    string_agg(line, chr(10) ORDER BY pos) AS text
+             FROM _pth GROUP BY doc_id, section_index
+             HAVING length(trim(regexp_replace(string_agg(line, chr(10) ORDER BY pos), '\\s+', ' ', 'g'))) > 0)"""
+
+
+SENT_SQL = ("list_filter(list_transform(regexp_extract_all({t}, '[^.!?]+[.!?]*'), "
+            "lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) > 0)")
+
+
+def _lead_sql(text: str) -> str:
+    return SENT_SQL.format(t=f"substring({text}, 1, 8000)") + "[1]"
+
+
+def _embed_cte(src: str, id_col: str, dim: int = 768) -> str:
+    """CTE ``emb(id, bucket, value)`` of the hashed embedding."""
+    return f"""
+_et AS (SELECT {id_col} AS id, unnest({terms_expr('text')}) AS term FROM {src}),
+_eb AS (SELECT id, CAST(CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % {dim} AS INTEGER) AS bucket,
+               CASE WHEN CAST(('0x' || substr(md5(term), 9, 1)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS sgn
+        FROM _et),
+_er AS (SELECT id, bucket, sum(sgn) AS raw FROM _eb GROUP BY id, bucket HAVING sum(sgn) <> 0),
+emb AS (SELECT id, bucket, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)), 6) AS value FROM _er)"""
+
+
+def markdown_docs(documents):
+    """Markdown built per document: '# <source>', '## Document <id>', the
+    first line, a code fence holding a '#' line, '### Details', the rest."""
+    first = F.substring_index("text", "\n", 1)
+    rest = F.expr("substr(text, length(substring_index(text, char(10), 1)) + 2)")
+    md = F.concat(F.lit("# "), F.col("source"), F.lit("\n## Document "), F.col("doc_id").cast("string"),
+                  F.lit("\n"), first, F.lit("\n```\n# not a heading\n```\n### Details\n"), rest)
+    return documents.select("doc_id", "source", md.alias("text"))
+
+
+# ---------------------------------------------------------------------------
+# T1 / K2
+# ---------------------------------------------------------------------------
+@register("page_blocks", ops=("T1",), sql=f"""
+WITH {_blocks_cte()}
+SELECT page_id, block_pos, kind, text FROM blocks WHERE length(text) > 0""")
+def q_page_blocks(spark, sf):
+    return page_blocks(Tables(spark, sf).pages)
+
+
+@register("blocks_to_markdown", ops=("K2",), sql=f"""
+WITH {_blocks_cte()}
+SELECT page_id,
+       string_agg(CASE kind WHEN 'h1' THEN '# ' WHEN 'li' THEN '- ' ELSE '' END || text,
+                  chr(10) || chr(10) ORDER BY block_pos) AS markdown,
+       count(*) AS n_blocks
+FROM blocks WHERE length(text) > 0 AND kind IN ('h1', 'li', 'p')
+GROUP BY page_id""")
+def q_blocks_to_markdown(spark, sf):
+    return blocks_to_markdown(page_blocks(Tables(spark, sf).pages))
+
+
+# ---------------------------------------------------------------------------
+# T2, T6, T7
+# ---------------------------------------------------------------------------
+@register("md_sections", ops=("T2",), sql=f"""
+WITH {_sections_cte(_markdown_docs_sql())}
+SELECT doc_id, section_index, header_path, text FROM sections""")
+def q_md_sections(spark, sf):
+    return C.markdown_sections(markdown_docs(Tables(spark, sf).documents))
+
+
+@register("chunk_links", ops=("T6",), sql=f"""
+WITH {token_chunks_cte()}
+SELECT chunk_id, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id
+FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)""")
+def q_chunk_links(spark, sf):
+    ch = C.token_chunks(Tables(spark, sf).documents)
+    return C.chunk_links(ch).select("chunk_id", "prev_id", "next_id")
+
+
+@register("two_line_cap", ops=("T7",), sql="""
+SELECT conv_id, turn, array_to_string(list_slice(string_split(trim(text), chr(10)), 1, 2), chr(10)) AS summary
+FROM conversations WHERE role = 'assistant'""")
+def q_two_line_cap(spark, sf):
+    c = Tables(spark, sf).conversations.where(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", C.first_lines("text", 2).alias("summary"))
+
+
+@register("sentence_chunks", ops=("T4",))
+def q_sentence_chunks(spark, sf):
+    """Rows-only here; checked against a brute-force packer in tests."""
+    return C.sentence_chunks(Tables(spark, sf).documents)
+
+
+# ---------------------------------------------------------------------------
+# E1, E2, P5, P6
+# ---------------------------------------------------------------------------
+@register("chunk_context", ops=("E1", "P10"), sql=f"""
+WITH _d AS (SELECT doc_id, source, text, {_lead_sql('text')} AS lead FROM documents),
+{token_chunks_cte(src='_d', extra='source, lead')},
+_nc AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id)
+SELECT c.chunk_id,
+       'Part of ' || c.source || ' (chunk ' || CAST(c.chunk_index + 1 AS VARCHAR) || ' of '
+         || CAST(_nc.n AS VARCHAR) || '). ' || coalesce(c.lead, '') AS context,
+       CAST(greatest(1, (c.chunk_index * 800) // 2000 + 1) AS INTEGER) AS page_number
+FROM chunks c JOIN _nc ON _nc.doc_id = c.doc_id""")
+def q_chunk_context(spark, sf):
+    return contextual_chunks(Tables(spark, sf).documents).select("chunk_id", "context", "page_number")
+
+
+@register("context_or_default", ops=("E2",), sql=f"""
+WITH _d AS (SELECT doc_id, source, text, {_lead_sql('text')} AS lead FROM documents),
+{token_chunks_cte(src='_d', extra='source, lead')},
+_nc AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id),
+_c AS (SELECT c.chunk_id, c.source,
+              CASE WHEN (c.doc_id + c.chunk_index) % 7 = 0 THEN NULL ELSE
+              'Part of ' || c.source || ' (chunk ' || CAST(c.chunk_index + 1 AS VARCHAR) || ' of '
+                || CAST(_nc.n AS VARCHAR) || '). ' || coalesce(c.lead, '') END AS context
+       FROM chunks c JOIN _nc ON _nc.doc_id = c.doc_id)
+SELECT chunk_id, coalesce(context, 'Part of ' || coalesce(source || '.md', 'document')) AS context FROM _c""")
+def q_context_or_default(spark, sf):
+    d = Tables(spark, sf).documents.withColumn("_lead", lead_sentence("text"))
+    ch = C.token_chunks(d, keep=("source", "_lead"))
+    failed = (F.col("doc_id") + F.col("chunk_index")) % 7 == 0     # provider failure stand-in
+    ctx = F.when(~failed, extractive_context("source", "chunk_index", "n_chunks", "_lead"))
+    return ch.select("chunk_id", context_or_default(ctx, F.concat("source", F.lit(".md"))).alias("context"))
+
+
+@register("context_prompt", ops=("P5", "P6"), sql=f"""
+WITH {token_chunks_cte(src='(SELECT doc_id, text, text AS full_text FROM documents)', extra='full_text')}
+SELECT chunk_id,
+       'Situate the chunk below within its document.' || chr(10) || chr(10) || '<document>' || chr(10)
+       || substring(full_text, 1, 8000) || chr(10) || '</document>' || chr(10) || chr(10) || '<chunk>'
+       || chr(10) || text || chr(10) || '</chunk>' || chr(10) || chr(10)
+       || 'Answer with one or two sentences of context only.' AS prompt
+FROM chunks""")
+def q_context_prompt(spark, sf):
+    d = Tables(spark, sf).documents.withColumn("full_text", F.col("text"))
+    ch = C.token_chunks(d, keep=("full_text",))
+    return ch.select("chunk_id", context_prompt("full_text", "text").alias("prompt"))
+
+
+# ---------------------------------------------------------------------------
+# E3, T5
+# ---------------------------------------------------------------------------
+@register("hash_embed", ops=("E3",), sql=f"""
+WITH {_embed_cte('benchmark', 'item_id')}
+SELECT id AS item_id, bucket, value FROM emb""")
+def q_hash_embed(spark, sf):
+    return hash_embed_sparse(Tables(spark, sf).benchmark, "item_id")
+
+
+@register("ingest_chain", ops=("T5", "E4"), sql=f"""
+WITH {_sections_cte(_markdown_docs_sql())},
+_sd AS (SELECT CAST(doc_id AS VARCHAR) || '-' || CAST(section_index AS VARCHAR) AS doc_id,
+               doc_id AS src_doc, header_path, text, {_lead_sql('text')} AS lead FROM sections),
+{token_chunks_cte(src='_sd', extra='src_doc, header_path, lead')},
+_nc AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id),
+_cx AS (SELECT c.chunk_id, c.text,
+               CAST(greatest(1, (c.chunk_index * 800) // 2000 + 1) AS INTEGER) AS page_number,
+               'Part of ' || CAST(c.src_doc AS VARCHAR) || ' ' || c.header_path || ' (chunk '
+                 || CAST(c.chunk_index + 1 AS VARCHAR) || ' of ' || CAST(_nc.n AS VARCHAR) || '). '
+                 || coalesce(c.lead, '') AS context
+        FROM chunks c JOIN _nc ON _nc.doc_id = c.doc_id),
+_in AS (SELECT chunk_id, context || chr(10) || text AS text FROM _cx),
+{_embed_cte('_in', 'chunk_id')},
+_nz AS (SELECT id, count(*) AS nnz, round(sum(value * value), 6) AS sq FROM emb GROUP BY id)
+SELECT _cx.chunk_id, _cx.page_number, _cx.context, coalesce(_nz.nnz, 0) AS nnz, _nz.sq AS norm_sq
+FROM _cx LEFT JOIN _nz ON _nz.id = _cx.chunk_id""")
+def q_ingest_chain(spark, sf):
+    from quarry.plans.ingest import contextual_index
+    return contextual_index(markdown_docs(Tables(spark, sf).documents))
