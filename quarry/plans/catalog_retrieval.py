@@ -11,7 +11,7 @@ from quarry.operators.retrieve import (dense_topk, dense_topk_lsh, format_contex
                                        hybrid_merge)
 from quarry.plans import answer
 from quarry.plans.registry import Tables, register
-from quarry.plans.sqlparts import bm25_cte, dense_cte, terms_expr, token_chunks_cte
+from quarry.plans.sqlparts import bm25_cte, context_cte, dense_cte, terms_expr, token_chunks_cte
 
 
 @register("token_chunks", ops=("T3", "A9"), sql=f"""
@@ -58,20 +58,8 @@ def q_sparse_topk(spark, sf):
 
 
 @register("format_context", ops=("R8", "P7", "E5", "A9"), sql=f"""
-WITH {token_chunks_cte(extra='source')},
-{bm25_cte('chunks', 'chunk_id', 'benchmark', 'item_id')},
-f AS (SELECT h.query_id, h.rank,
-             '**Document Chunk ' || CAST(h.rank AS VARCHAR) || '**' || chr(10)
-             || 'Source: ' || coalesce(c.source, 'Unknown file')
-             || ' (Page ' || CAST(greatest(1, (c.chunk_index * 800) // 2000 + 1) AS VARCHAR) || ')'
-             || chr(10) || chr(10) || 'Content:' || chr(10) || c.text AS formatted
-      FROM hits h JOIN chunks c ON c.chunk_id = h.doc_id)
-SELECT b.item_id AS query_id,
-       CASE WHEN count(f.rank) = 0 THEN 'No relevant documents found for this query.'
-            ELSE chr(10) || chr(10) || repeat('=', 50)
-                 || string_agg(f.formatted, chr(10) || chr(10) ORDER BY f.rank) END AS context
-FROM benchmark b LEFT JOIN f ON f.query_id = b.item_id
-GROUP BY b.item_id""")
+WITH {context_cte('benchmark', 'item_id')}
+SELECT query_id, context FROM ctx""")
 def q_format_context(spark, sf):
     t = Tables(spark, sf)
     return answer.retrieve_context(t.benchmark.withColumnRenamed("item_id", "query_id"), t.documents)

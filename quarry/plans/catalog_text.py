@@ -12,6 +12,7 @@ from quarry.operators.embed import embed_input, hash_embed_sparse
 from quarry.operators.enrich import (context_or_default, context_prompt, contextual_chunks,
                                      extractive_context, lead_sentence)
 from quarry.plans.registry import Tables, register
+from quarry.plans.sqlparts import embed_cte as _embed_cte
 from quarry.plans.sqlparts import terms_expr, token_chunks_cte
 
 # ---------------------------------------------------------------------------
@@ -92,17 +93,6 @@ def _lead_sql(text: str) -> str:
     return SENT_SQL.format(t=f"substring({text}, 1, 8000)") + "[1]"
 
 
-def _embed_cte(src: str, id_col: str, dim: int = 768) -> str:
-    """CTE ``emb(id, bucket, value)`` of the hashed embedding."""
-    return f"""
-_et AS (SELECT {id_col} AS id, unnest({terms_expr('text')}) AS term FROM {src}),
-_eb AS (SELECT id, CAST(CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % {dim} AS INTEGER) AS bucket,
-               CASE WHEN CAST(('0x' || substr(md5(term), 9, 1)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS sgn
-        FROM _et),
-_er AS (SELECT id, bucket, sum(sgn) AS raw FROM _eb GROUP BY id, bucket HAVING sum(sgn) <> 0),
-emb AS (SELECT id, bucket, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)), 6) AS value FROM _er)"""
-
-
 def markdown_docs(documents):
     """Markdown built per document: '# <source>', '## Document <id>', the
     first line, a code fence holding a '#' line, '### Details', the rest."""

@@ -81,3 +81,55 @@ _ds AS (SELECT _qv.query_id, e.vec_id AS doc_id,
         FROM _qv CROSS JOIN embeddings e WHERE e.vec_id <> _qv.query_id),
 _dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM _ds),
 dense AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM _dr WHERE rank <= {k})"""
+
+
+def embed_cte(src: str, id_col: str, dim: int = 768, name: str = "emb") -> str:
+    """CTE ``<name>(id, bucket, value)``: hashed embedding, unit length,
+    values rounded to 6 places."""
+    p = f"_{name}"
+    return f"""
+{p}_t AS (SELECT {id_col} AS id, unnest({terms_expr('text')}) AS term FROM {src}),
+{p}_b AS (SELECT id, CAST(CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % {dim} AS INTEGER) AS bucket,
+               CASE WHEN CAST(('0x' || substr(md5(term), 9, 1)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS sgn
+        FROM {p}_t),
+{p}_r AS (SELECT id, bucket, sum(sgn) AS raw FROM {p}_b GROUP BY id, bucket HAVING sum(sgn) <> 0),
+{name} AS (SELECT id, bucket, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)), 6) AS value FROM {p}_r)"""
+
+
+SENT_SQL = ("list_filter(list_transform(regexp_extract_all({t}, '[^.!?]+[.!?]*'), "
+            "lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) > 0)")
+
+
+def sentences_expr(text: str) -> str:
+    return SENT_SQL.format(t=text)
+
+
+def term_set_expr(text: str) -> str:
+    return f"list_distinct({terms_expr(text)})"
+
+
+def supported_fraction_expr(text: str, pool: str, tau: float = 0.6) -> str:
+    """Supported sentences / sentences with terms (NULL when none)."""
+    toks = f"list_filter(list_transform({sentences_expr(text)}, lambda s: {term_set_expr('s')}), lambda t: len(t) > 0)"
+    ok = f"len(list_filter({toks}, lambda t: len(list_intersect(t, {pool})) / len(t) >= {tau}))"
+    return f"CASE WHEN len({toks}) > 0 THEN {ok} / len({toks}) END"
+
+
+def context_cte(queries: str, query_id: str = "query_id", k: int = 2) -> str:
+    """CTEs ``chunks``, ``hits`` (BM25 over token chunks of documents),
+    ``fmt(query_id, rank, formatted)`` and ``ctx(query_id, context)``.
+    ``queries`` must have columns ``{query_id}`` and ``text``."""
+    return f"""{token_chunks_cte(extra='source')},
+{bm25_cte('chunks', 'chunk_id', queries, query_id, k=k)},
+fmt AS (SELECT h.query_id, h.rank, c.text AS content,
+             '**Document Chunk ' || CAST(h.rank AS VARCHAR) || '**' || chr(10)
+             || 'Source: ' || coalesce(c.source, 'Unknown file')
+             || ' (Page ' || CAST(greatest(1, (c.chunk_index * 800) // 2000 + 1) AS VARCHAR) || ')'
+             || chr(10) || chr(10) || 'Content:' || chr(10) || c.text AS formatted
+      FROM hits h JOIN chunks c ON c.chunk_id = h.doc_id),
+ctx AS (SELECT q.{query_id} AS query_id,
+       CASE WHEN count(fmt.rank) = 0 THEN 'No relevant documents found for this query.'
+            ELSE chr(10) || chr(10) || repeat('=', 50)
+                 || string_agg(fmt.formatted, chr(10) || chr(10) ORDER BY fmt.rank) END AS context
+       FROM {queries} q LEFT JOIN fmt ON fmt.query_id = q.{query_id}
+       GROUP BY q.{query_id})"""

@@ -29,7 +29,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 9)
+        return round(v, 9) + 0.0  # -0.0 and 0.0 compare and sort alike
     if hasattr(v, "tolist"):
         return str(v.tolist())
     if isinstance(v, (list, tuple)):
