@@ -118,8 +118,12 @@ def paths_or_listing(resolved: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 # S7 / K1 --------------------------------------------------------------------
-def read_nested_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", "true")
+def read_nested_json(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                     multi_line: bool = False) -> DataFrame:
+    """Nested JSON documents. ``multi_line`` for one pretty-printed document
+    per file (a converted document); JSON Lines (what ``write_nested_json``
+    writes) otherwise. Pass the schema: inference reads all data twice."""
+    reader = spark.read.option("multiLine", str(multi_line).lower())
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(path)
