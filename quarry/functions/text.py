@@ -47,9 +47,20 @@ def stop_word_array() -> Column:
 
 
 def terms(text) -> Column:
-    """Index terms: lower-cased letter runs without stop words (R3)."""
-    stops = stop_word_array()
-    return F.filter(raw_terms(text), lambda t: ~F.array_contains(stops, t))
+    """Index terms: lower-cased letter runs without stop words (R3).
+
+    ``isin`` over the fixed list is planned as a hash-set lookup (InSet),
+    not a scan of the list per token."""
+    return F.filter(raw_terms(text), lambda t: ~t.isin(list(STOP_WORDS)))
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``.
+
+    A Column expression repeated inside a lambda is re-evaluated per
+    element (e.g. a regex over the whole text per chunk); binding it as a
+    lambda variable computes it once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def sentences(text) -> Column:

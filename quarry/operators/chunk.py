@@ -4,6 +4,10 @@ All chunkers are narrow (row-local array functions + explode): a document
 is never split across tasks and no shuffle is needed, except Markdown
 sections, which regroup lines of one document (already co-partitioned by
 the document id, so the regrouping adds no exchange).
+
+Generators are ``*_outer`` followed by a NULL filter on purpose: for an
+inner explode Catalyst infers ``size(array) > 0`` and pushes it below the
+projection, evaluating the (expensive) array expression twice.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import sentences, words
+from quarry.functions.text import let, sentences, words
 
 # Chunking parameters of the ingest.
 TOKEN_CHUNK_SIZE = 800
@@ -51,17 +55,14 @@ def token_chunks(docs: DataFrame, size: int = TOKEN_CHUNK_SIZE,
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
     step = size - overlap
-    w = words(text_col)
-    out = docs.select(
-        F.col(id_col), *[F.col(k) for k in keep],
-        F.transform(
-            F.sequence(F.lit(0), n_windows(F.size(w), size, overlap) - 1),
-            lambda i: F.array_join(F.slice(w, i * step + 1, size), " "),
-        ).alias("_chunks"),
-    )
+    chunks = let(words(text_col), lambda w: F.transform(
+        F.sequence(F.lit(0), n_windows(F.size(w), size, overlap) - 1),
+        lambda i: F.array_join(F.slice(w, i * step + 1, size), " ")))
+    out = docs.select(F.col(id_col), *[F.col(k) for k in keep], chunks.alias("_chunks"))
     return (out.select(F.col(id_col), *[F.col(k) for k in keep],
                        F.size("_chunks").alias("n_chunks"),
-                       F.posexplode("_chunks").alias("chunk_index", "text"))
+                       F.posexplode_outer("_chunks").alias("chunk_index", "text"))
+            .where(F.col("chunk_index").isNotNull())
             .withColumn("chunk_id", chunk_id(id_col, "chunk_index")))
 
 
@@ -101,7 +102,8 @@ def markdown_sections(docs: DataFrame, id_col: str = "doc_id",
     ``header_path`` is '/' + ancestor titles joined by '/' + '/', or '/'.
     """
     lines = docs.select(F.col(id_col),
-                        F.posexplode(F.split(_c(text_col), "\n")).alias("pos", "line"))
+                        F.posexplode_outer(F.split(_c(text_col), "\n")).alias("pos", "line")) \
+        .where(F.col("pos").isNotNull())
     w_upto = (Window.partitionBy(id_col).orderBy("pos")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     w_before = (Window.partitionBy(id_col).orderBy("pos")
@@ -156,8 +158,8 @@ def sentence_chunks(docs: DataFrame, limit: int = SENTENCE_CHUNK_SIZE,
     paragraph, no shuffle.
     """
     paras = docs.select(F.col(id_col),
-                        F.posexplode(F.split(_c(text_col), paragraph_separator, -1))
-                        .alias("paragraph", "ptext"))
+                        F.posexplode_outer(F.split(_c(text_col), paragraph_separator, -1))
+                        .alias("paragraph", "ptext")).where(F.col("paragraph").isNotNull())
     sents = paras.withColumn("_s", sentences("ptext"))
     sents = sents.withColumn("_len", F.transform("_s", lambda s: F.size(F.split(s, " "))))
     # prefix sums P[0..n] (long), computed by a single fold
@@ -187,7 +189,7 @@ def sentence_chunks(docs: DataFrame, limit: int = SENTENCE_CHUNK_SIZE,
     bounds = F.when(n == 0, F.array().cast("array<struct<s:int,e:int>>")).otherwise(
         F.concat(folded["out"], F.array(F.struct(folded["s"].alias("s"), n.alias("e")))))
     out = sents.select(F.col(id_col), "paragraph", "_s",
-                       F.posexplode(bounds).alias("_k", "_b"))
+                       F.posexplode_outer(bounds).alias("_k", "_b")).where(F.col("_k").isNotNull())
     out = out.select(
         F.col(id_col), "paragraph", F.col("_k").alias("chunk_in_paragraph"),
         F.array_join(F.slice("_s", F.col("_b.s") + 1, F.col("_b.e") - F.col("_b.s")), " ").alias("text"),

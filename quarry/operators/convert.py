@@ -35,7 +35,9 @@ def page_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     h = F.regexp_replace(h, r"(?s)<!--.*?-->", " ")
     h = F.regexp_replace(h, rf"(?i)</({'|'.join(BLOCK_CLOSE)})\s*>", BREAK)
     h = F.regexp_replace(h, rf"(?i)<({'|'.join(BLOCK_OPEN)})(\s[^>]*)?>", BREAK + "$1" + KIND_END)
-    pieces = pages.select(F.col(id_col), F.posexplode(F.split(h, BREAK)).alias("block_pos", "piece"))
+    # outer explode: an inner one makes Catalyst push ``size(split(..)) > 0``
+    # to the scan, which would run the whole regex chain twice
+    pieces = pages.select(F.col(id_col), F.posexplode_outer(F.split(h, BREAK)).alias("block_pos", "piece"))
     pieces = pieces.where(F.col("piece").contains(KIND_END))
     text = F.trim(F.regexp_replace(F.regexp_replace(F.substring_index("piece", KIND_END, -1),
                                                     r"<[^>]*>", " "), r"\s+", " "))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import sentences, terms
+from quarry.functions.text import let, sentences, terms
 
 TAU = 0.6  # fixed value: support threshold
 ERROR_ANSWER = "Error"
@@ -35,8 +35,12 @@ def supported_fraction(text, pool_terms: Column, tau: float = TAU) -> Column:
     """Supported sentences of ``text`` / sentences of ``text`` with terms;
     NULL when no sentence has a term."""
     toks = F.filter(F.transform(sentences(text), lambda s: term_set(s)), lambda t: F.size(t) > 0)
-    ok = F.size(F.filter(toks, lambda t: _share(t, pool_terms) >= tau))
-    return F.when(F.size(toks) > 0, ok / F.size(toks))
+
+    def frac(pool, ts):
+        ok = F.size(F.filter(ts, lambda t: _share(t, pool) >= tau))
+        return F.when(F.size(ts) > 0, ok / F.size(ts))
+    # bind the sentence terms and the pool once per row
+    return let(F.struct(pool_terms.alias("p"), toks.alias("t")), lambda b: frac(b["p"], b["t"]))
 
 
 # V3 -------------------------------------------------------------------------
@@ -56,9 +60,17 @@ def context_precision(truth, hits_sorted: Column, tau: float = TAU) -> Column:
     """sum_k precision@k * v_k / sum_k v_k, with v_k = 1 when hit k holds
     at least ``tau`` of the truth's terms; 0 when no hit is relevant.
     ``hits_sorted`` is ARRAY<STRING> in rank order."""
-    tt = term_set(truth)
-    v = F.transform(hits_sorted, lambda h: F.when(
+    return let(F.struct(term_set(truth).alias("tt"), _c(hits_sorted).alias("h")),
+               lambda b: _precision(b["tt"], b["h"], tau))
+
+
+def _precision(tt: Column, hits: Column, tau: float) -> Column:
+    v = F.transform(hits, lambda h: F.when(
         (F.size(tt) > 0) & (_share(tt, term_set(h)) >= tau), F.lit(1)).otherwise(F.lit(0)))
+    return let(v, lambda vv: _precision_of(vv))
+
+
+def _precision_of(v: Column) -> Column:
     n = F.size(v)
     num = F.aggregate(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0),

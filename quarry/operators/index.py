@@ -27,7 +27,8 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, term, tf, doc_len). Partial aggregation happens map side,
     so a frequent term costs one row per (document, term), not per token."""
     dt = doc_terms(docs, id_col, text_col)
-    return (dt.select("doc_id", "doc_len", F.explode("terms").alias("term"))
+    return (dt.select("doc_id", "doc_len", F.explode_outer("terms").alias("term"))
+            .where(F.col("term").isNotNull())
             .groupBy("doc_id", "term", "doc_len")
             .agg(F.count(F.lit(1)).alias("tf")))
 
@@ -43,9 +44,10 @@ def doc_freq(posts: DataFrame) -> DataFrame:
 
 
 def corpus_stats(docs_terms: DataFrame) -> DataFrame:
-    """One row: number of documents and average document length."""
+    """One row: number of documents and their total length in terms (a
+    global aggregate with map-side partial sums)."""
     return docs_terms.agg(F.count(F.lit(1)).alias("n_docs"),
-                          F.avg("doc_len").alias("avg_len"))
+                          F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long").alias("total_len"))
 
 
 def write_postings(posts: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:

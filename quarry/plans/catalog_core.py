@@ -164,7 +164,7 @@ e AS (SELECT doc_id, unnest(ss) AS sentence, unnest(range(len(ss))) AS i FROM s)
 SELECT doc_id, CAST(i AS INTEGER) AS sentence_index, sentence FROM e WHERE (i + 1) % 50 = 0""")
 def q_every_nth(spark, sf):
     d = Tables(spark, sf).documents
-    s = d.select("doc_id", F.posexplode(sentences("text")).alias("sentence_index", "sentence"))
+    s = d.select("doc_id", F.posexplode_outer(sentences("text")).alias("sentence_index", "sentence"))
     return s.where(X.every_nth("sentence_index", 50)).select("doc_id", "sentence_index", "sentence")
 
 
