@@ -61,11 +61,11 @@ def main() -> None:
     postings_path = os.path.join(scratch, "postings")
 
     def build_index():
-        I.write_postings(I.postings(t.documents), postings_path)
+        I.write_text_index(t.documents, postings_path)
 
     def bm25_indexed():
-        posts = I.read_postings(spark, postings_path).drop("term_bucket")
-        run(bm25_topk(bench_q, t.documents, posts=posts))
+        posts, stats = I.read_text_index(spark, postings_path)
+        run(bm25_topk(bench_q, t.documents, posts=posts, stats=stats))
 
     plan = {
         "token_chunks": lambda: run(C.token_chunks(t.documents)),

@@ -50,10 +50,14 @@ def corpus_stats(docs_terms: DataFrame) -> DataFrame:
                           F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long").alias("total_len"))
 
 
+def term_bucket(term, buckets: int = TERM_BUCKETS):
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 def write_postings(posts: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:
-    """Persist postings partitioned by a stable term hash (dynamic partition
-    pruning then skips most files for a handful of query terms)."""
-    (posts.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    """Persist postings partitioned by a stable term hash, so a query that
+    knows its terms' buckets reads only those partitions."""
+    (posts.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
      .repartition("term_bucket")
      .write.mode("overwrite").partitionBy("term_bucket").parquet(path))
 
@@ -62,6 +66,38 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+STATS_BUCKET = -1
+
+
+def write_text_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+                     buckets: int = TERM_BUCKETS) -> None:
+    """Postings and corpus statistics in one pass over the corpus.
+
+    Every document adds one extra row with a NULL term that carries its
+    length; those rows go to partition ``term_bucket=-1``, so the
+    statistics are read from that partition alone and documents without
+    any term still count."""
+    dt = doc_terms(docs, id_col, text_col)
+    rows = (dt.select("doc_id", "doc_len",
+                      F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term"))
+            .groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf")))
+    (rows.withColumn("term_bucket", F.when(F.col("term").isNull(), F.lit(STATS_BUCKET))
+                     .otherwise(term_bucket(F.col("term"), buckets)))
+     .repartition("term_bucket")
+     .write.mode("overwrite").partitionBy("term_bucket").parquet(path))
+
+
+def read_text_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, stats) of a written index; partition filters keep the
+    two apart (each reads only its own files)."""
+    df = spark.read.parquet(path)
+    posts = df.where(F.col("term_bucket") != STATS_BUCKET).drop("term_bucket")
+    stats = df.where(F.col("term_bucket") == STATS_BUCKET).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long")
+        .alias("total_len"))
+    return posts, stats
+
+
 # A1-A3, P9 ------------------------------------------------------------------
 def vector_audit(table: DataFrame, vec_col: str = "embedding", expected_dim: int | None = None,
                  context_col: str | None = None, page_col: str | None = None,

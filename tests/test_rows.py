@@ -145,6 +145,13 @@ def test_postings_written_by_term_bucket(spark, tmp_path):
     a = bm25_topk(q, docs).collect()
     b = bm25_topk(q, docs, posts=back.drop("term_bucket")).collect()
     assert sorted(a) == sorted(b)
+    # postings and statistics written in one pass
+    I.write_text_index(docs, str(tmp_path / "index"), buckets=8)
+    p2, st = I.read_text_index(spark, str(tmp_path / "index"))
+    assert p2.count() == posts.count()
+    assert st.first().n_docs == docs.count()
+    c = bm25_topk(q, spark.range(0), posts=p2, stats=st).collect()
+    assert sorted(a) == sorted(c)
 
 
 # R5: salted path (no broadcast) equals the broadcast path ----------------------
