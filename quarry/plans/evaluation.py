@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.operators import chat
 from quarry.operators import evaluate as V
 from quarry.plans import answer
+from quarry.session import stage
 
 
 def golden(t) -> DataFrame:
@@ -24,27 +25,38 @@ def records(t) -> DataFrame:
     return V.eval_records(g, hits)
 
 
-def metric_frames(t) -> dict[str, DataFrame]:
-    """Per-record values of each metric in column ``x``."""
+def records_staged(t) -> DataFrame:
+    """Evaluation records written once (two metrics read them)."""
+    return stage(records(t), "eval-records")
+
+
+def pair_metrics(t) -> DataFrame:
+    """conv_id, turn, faithfulness, answer_relevancy for each reply pair."""
     p = chat.reply_pairs(t.conversations)
-    r = records(t)
-    return {
-        "faithfulness": p.select(V.faithfulness("answer", "question").alias("x")),
-        "answer_relevancy": V.answer_relevancy(p, ["conv_id", "turn"])
-        .select(F.col("answer_relevancy").alias("x")),
-        "context_recall": r.select(V.context_recall("ground_truth", F.array_join("contexts", " "))
-                                   .alias("x")),
-        "context_precision": r.select(F.round(V.context_precision("ground_truth", F.col("contexts")), 6)
-                                      .alias("x")),
-    }
+    rel = V.answer_relevancy(p.withColumn("faithfulness", V.faithfulness("answer", "question")),
+                             ["conv_id", "turn", "faithfulness"])
+    return rel
+
+
+def record_metrics(r: DataFrame) -> DataFrame:
+    return r.select("query_id",
+                    V.context_recall("ground_truth", F.array_join("contexts", " ")).alias("context_recall"),
+                    F.round(V.context_precision("ground_truth", F.col("contexts")), 6)
+                    .alias("context_precision"))
+
+
+def _long(df: DataFrame, names: list[str]) -> DataFrame:
+    """One aggregate pass over ``df`` for all ``names``, then one row per
+    metric (``stack``), no join."""
+    aggs = []
+    for n in names:
+        aggs += [F.round(F.avg(n), 4).alias(f"{n}__v"), F.count(n).alias(f"{n}__n")]
+    row = df.agg(*aggs)
+    pairs = ", ".join(f"'{n}', `{n}__v`, `{n}__n`" for n in names)
+    return row.selectExpr(f"stack({len(names)}, {pairs}) AS (metric, value, n)")
 
 
 def summary(t) -> DataFrame:
-    """One row per metric: mean (4 places) and number of scored records.
-    Long format (union of one-row aggregates), no cross join."""
-    out = None
-    for name, df in metric_frames(t).items():
-        row = df.agg(F.lit(name).alias("metric"), F.round(F.avg("x"), 4).alias("value"),
-                     F.count("x").alias("n"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """One row per metric: mean (4 places) and number of scored records."""
+    return (_long(pair_metrics(t), ["faithfulness", "answer_relevancy"])
+            .unionByName(_long(record_metrics(records_staged(t)), ["context_recall", "context_precision"])))

@@ -28,6 +28,10 @@ def get_spark(master: str | None = None, app: str = "quarry",
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor; 1g default is
+        # far too small for hash aggregation over millions of rows
+        conf["spark.driver.memory"] = "12g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -66,6 +70,19 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+def stage(df, name: str = "stage"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back: the lineage is cut (a lost executor does not recompute
+    the stage) and later readers get column pruning. Used for an
+    intermediate that a plan reads more than once."""
+    import uuid
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def default_parallelism_hint(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
