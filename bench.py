@@ -16,7 +16,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -48,7 +47,10 @@ def main() -> None:
     spark = get_spark(f"local[{CPUS}]", app="quarry-bench", shuffle_partitions=int(CPUS) * 2,
                       extra={"spark.driver.memory": "16g"})
     checks = load_all()
-    scratch = tempfile.mkdtemp(prefix="quarry-bench-")
+    from quarry.plans import index_store
+    from quarry.session import ensure_checkpoint_dir
+    import uuid
+    scratch = os.path.join(ensure_checkpoint_dir(spark), "bench-" + uuid.uuid4().hex)
 
     # warm-up (not timed)
     for name in ("token_chunks", "sparse_topk", "dense_topk", "page_blocks"):
@@ -59,6 +61,7 @@ def main() -> None:
           .select(F.col("vec_id").alias("query_id"), "embedding"))
     bench_q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
     postings_path = os.path.join(scratch, "postings")
+    store_path = os.path.join(scratch, "store")
 
     def build_index():
         I.write_text_index(t.documents, postings_path)
@@ -73,6 +76,8 @@ def main() -> None:
         "sparse_topk_indexed": bm25_indexed,
         "sparse_topk": lambda: run(answer.sparse_hits(t.benchmark, t.documents)),
         "format_context": lambda: run(answer.retrieve_context(bench_q, t.documents)),
+        "chunk_index_build": lambda: index_store.build(t.documents, store_path),
+        "format_context_indexed": lambda: run(index_store.answer(spark, store_path, bench_q)),
         "dense_topk": lambda: run(dense_topk(qv, t.embeddings, k=2, exclude_self=True)),
         "dense_topk_lsh": lambda: run(dense_topk_lsh(qv, t.embeddings, k=2, exclude_self=True)),
         "hash_embed_docs": lambda: run(hash_embed_sparse(t.documents, "doc_id")),

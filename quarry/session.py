@@ -50,11 +50,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is. Only when it is unset (local runs, tests) a scratch folder is
     created and registered.
     """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext, use the conf
+        sc = None
+    if sc is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            return configured
+        path = tempfile.mkdtemp(prefix="quarry-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", path)
+        return path
     current = sc.getCheckpointDir()
     if current:
         return current
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
     path = configured or tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

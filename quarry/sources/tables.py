@@ -39,9 +39,12 @@ def ensure_parallelism(df: DataFrame, key: str, min_partitions: int | None = Non
     cores. Deterministic (hash, not round robin), so a lost task is
     recomputed with the same rows, and later joins or aggregations keyed
     by ``key`` reuse the partitioning."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): keep the scan as is
+        return df
+    if have < want:
         return df.repartition(want, key)
     return df
 

@@ -154,6 +154,16 @@ def test_postings_written_by_term_bucket(spark, tmp_path):
     assert sorted(a) == sorted(c)
 
 
+def test_answer_from_written_index(spark, tmp_path):
+    from quarry.plans import answer, index_store
+    t = Tables(spark, SF_SMALL)
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    index_store.build(t.documents, str(tmp_path / "store"), buckets=8)
+    a = sorted(index_store.answer(spark, str(tmp_path / "store"), q).collect())
+    b = sorted(answer.retrieve_context(q, t.documents).collect())
+    assert a == b and len(a) == 40
+
+
 # R5: salted path (no broadcast) equals the broadcast path ----------------------
 def test_bm25_salted_equals_broadcast(spark):
     t = Tables(spark, SF_SMALL)
