@@ -15,9 +15,12 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Broadcasts are decided by our own size checks (plans.joins); keep
-    # Spark's static estimate from broadcasting exploded intermediates.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Every broadcast is either an explicit hint behind a row-count check
+    # (plans.joins.fits_broadcast) or chosen by AQE from the measured size
+    # of a finished shuffle stage; static size estimates (which can be far
+    # off after explodes and filters) never decide one.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
 }
 
 

@@ -178,9 +178,10 @@ def test_dense_topk_grid_blocks(spark):
     t = Tables(spark, SF_MID)
     q = t.embeddings.where(F.col("vec_id") < 60).select(F.col("vec_id").alias("query_id"), "embedding")
     one = sorted(dense_topk(q, t.embeddings, k=3, exclude_self=True).collect())
-    grid = sorted(dense_topk(q, t.embeddings, k=3, exclude_self=True,
+    grid = sorted(dense_topk(q, t.embeddings, k=3, exclude_self=True, max_broadcast_values=0,
                              vectors_per_block=37, queries_per_block=7).collect())
-    assert one == grid and len(one) == 180
+    single = sorted(dense_topk(q, t.embeddings, k=3, exclude_self=True, max_broadcast_values=0).collect())
+    assert one == grid == single and len(one) == 180
 
 
 # R2: LSH recall against the exact top-k ----------------------------------------
