@@ -144,6 +144,28 @@ def markdown_sections(docs: DataFrame, id_col: str = "doc_id",
 
 
 # T4 -------------------------------------------------------------------------
+SCAN_PASSES = 24  # doubling passes: exact for arrays of up to 2**24 elements
+
+
+def prefix_sums(arr: Column, passes: int = SCAN_PASSES) -> Column:
+    """Inclusive prefix sums of a numeric array inside the row.
+
+    Hillis-Steele scan: pass k adds the element 2**k places back. Each pass
+    is one ``transform`` with its input bound once (``let``), so the cost
+    is O(n * passes) instead of the O(n^2) of appending in a fold.
+    """
+    def shift_add(step: int):
+        # (PySpark reads the lambda's arity, so no default-argument capture)
+        # arrays no longer than ``step`` are already complete: pass through
+        return lambda a: F.when(F.size(a) <= step, a).otherwise(F.transform(
+            a, lambda x, i: x + F.when(i >= step, F.element_at(a, i - step + 1)).otherwise(F.lit(0))))
+
+    out = arr
+    for k in range(passes):
+        out = let(out, shift_add(1 << k))
+    return out
+
+
 def sentence_chunks(docs: DataFrame, limit: int = SENTENCE_CHUNK_SIZE,
                     overlap: int = SENTENCE_CHUNK_OVERLAP,
                     paragraph_separator: str = PARAGRAPH_SEPARATOR,
@@ -162,10 +184,9 @@ def sentence_chunks(docs: DataFrame, limit: int = SENTENCE_CHUNK_SIZE,
                         .alias("paragraph", "ptext")).where(F.col("paragraph").isNotNull())
     sents = paras.withColumn("_s", sentences("ptext"))
     sents = sents.withColumn("_len", F.transform("_s", lambda s: F.size(F.split(s, " "))))
-    # prefix sums P[0..n] (long), computed by a single fold
-    sents = sents.withColumn(
-        "_P", F.aggregate("_len", F.array(F.lit(0).cast("long")),
-                          lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))))
+    # prefix sums P[0..n] (long) by a doubling scan: O(n log n_max) per row
+    sents = sents.withColumn("_P", F.concat(F.array(F.lit(0).cast("long")),
+                                            prefix_sums(F.transform("_len", lambda x: x.cast("long")))))
     P = F.col("_P")
 
     def p(i):  # P[i], 0-based
