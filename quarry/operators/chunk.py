@@ -145,6 +145,7 @@ def markdown_sections(docs: DataFrame, id_col: str = "doc_id",
 
 # T4 -------------------------------------------------------------------------
 SCAN_PASSES = 24  # doubling passes: exact for arrays of up to 2**24 elements
+FOLD_MAX = 512    # arrays up to this size use the append fold (faster when short)
 
 
 def prefix_sums(arr: Column, passes: int = SCAN_PASSES) -> Column:
@@ -160,10 +161,18 @@ def prefix_sums(arr: Column, passes: int = SCAN_PASSES) -> Column:
         return lambda a: F.when(F.size(a) <= step, a).otherwise(F.transform(
             a, lambda x, i: x + F.when(i >= step, F.element_at(a, i - step + 1)).otherwise(F.lit(0))))
 
-    out = arr
-    for k in range(passes):
-        out = let(out, shift_add(1 << k))
-    return out
+    def scan(a):
+        out = a
+        for k in range(passes):
+            out = let(out, shift_add(1 << k))
+        return out
+
+    def fold(a):  # appends in a fold: cheaper for short arrays
+        zero = F.lit(0).cast("long")
+        acc = F.aggregate(a, F.array(zero), lambda p, x: F.concat(p, F.array(F.element_at(p, -1) + x)))
+        return F.slice(acc, 2, F.size(a))
+
+    return let(arr, lambda a: F.when(F.size(a) <= FOLD_MAX, fold(a)).otherwise(scan(a)))
 
 
 def sentence_chunks(docs: DataFrame, limit: int = SENTENCE_CHUNK_SIZE,

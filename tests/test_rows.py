@@ -247,6 +247,20 @@ def test_sentence_chunks_brute_force(spark, limit, overlap):
     assert got == sorted(expected)
 
 
+def test_prefix_sums_both_paths(spark):
+    import random
+    rnd = random.Random(3)
+    arrays = [[rnd.randint(1, 40) for _ in range(n)] for n in (0, 1, 2, 5, 511, 512, 513, 3000)]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, a array<bigint>")
+    got = {r.i: r.p for r in df.select("i", C.prefix_sums(F.col("a")).alias("p")).collect()}
+    for i, a in enumerate(arrays):
+        run, acc = [], 0
+        for x in a:
+            acc += x
+            run.append(acc)
+        assert got[i] == run, i
+
+
 # T2: nested headings and fences ------------------------------------------------
 def test_markdown_header_paths(spark):
     md = "\n".join(["intro line", "# A", "a text", "## B", "b text", "```", "# not heading", "```",
