@@ -103,7 +103,11 @@ def resolve_paths(meta: DataFrame, listing: DataFrame, input_dir: str,
     root = input_dir.rstrip("/") + "/"
     cand = cand.withColumn("path", F.when(F.col("value").startswith("/"), F.col("value"))
                            .otherwise(F.concat(F.lit(root), F.col("value"))))
-    found = cand.join(listing.select("path").distinct(), "path", "left_semi")
+    # many documents may name the same file (a third of them, say): the
+    # listing is broadcast when its size is proven small, else the
+    # candidates are salted so one hot path spreads over many tasks
+    from quarry.plans.joins import join_small
+    found = join_small(cand, listing.select("path").distinct(), ["path"], how="left_semi")
     best = (found.groupBy(id_col)
             .agg(F.min_by(F.struct("path", "key"), F.col("priority")).alias("_b")))
     return (meta.select(id_col).join(best, id_col, "left")
