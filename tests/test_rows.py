@@ -312,3 +312,47 @@ def test_entry_smoke(spark):
     assert all(r.context.startswith("\n\n" + "=" * 50) or r.context.startswith("No relevant")
                for r in rows)
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+# E1 provider hook + E2 fallback ---------------------------------------------------
+def test_provider_hook_with_failures(spark):
+    from quarry.operators.enrich import context_or_default, context_prompt, with_provider
+    docs = Tables(spark, SF_SMALL).documents.withColumn("full", F.col("text"))
+    ch = C.token_chunks(docs, keep=("source", "full")).select(
+        "chunk_id", "source", context_prompt("full", "text").alias("prompt"))
+
+    def provider(prompts):
+        # a stand-in model: a whole call fails when a prompt length ends in 3,
+        # single answers are missing when it is a multiple of 5
+        if any(len(p) % 10 == 3 for p in prompts):
+            raise RuntimeError("model unavailable")
+        return [None if len(p) % 5 == 0 else "ctx:" + str(len(p)) for p in prompts]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    out = with_provider(ch, provider).select(
+        "chunk_id", context_or_default(F.col("context"), F.concat("source", F.lit(".md"))).alias("c"))
+    rows = out.collect()
+    assert len(rows) == ch.count()
+    assert all(r.c.startswith("ctx:") or r.c.startswith("Part of src") for r in rows)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert any(r.c.startswith("Part of ") for r in rows) and any(r.c.startswith("ctx:") for r in rows)
+
+
+# S5 table-level fallback, S6 listing fallback -------------------------------------
+def test_table_and_listing_fallbacks(spark):
+    d = Tables(spark, SF_SMALL).documents.select("doc_id", "source")
+    I.replace_table(d, "qa_regular")
+    assert files.pick_table(spark, "qa_contextual_missing", "qa_regular").count() == d.count()
+    I.replace_table(d.limit(7), "qa_contextual")
+    assert files.pick_table(spark, "qa_contextual", "qa_regular").count() == 7
+    I.drop_tables(spark, ["qa_regular", "qa_contextual"])
+    meta = spark.createDataFrame([(1, {"file_path": "/nowhere/a.md"}), (2, {"source": "b.md"})],
+                                 "doc_id long, metadata map<string,string>")
+    listing = spark.createDataFrame([("/data/x.md",), ("/data/y.md",)], "path string")
+    res = files.resolve_paths(meta, listing, "/data")
+    assert {r.path for r in res.collect()} == {None}
+    assert sorted(r.path for r in files.paths_or_listing(res, listing).collect()) == ["/data/x.md", "/data/y.md"]
+    hit = spark.createDataFrame([(3, {"filename": "x.md", "source": "/data/y.md"})],
+                                "doc_id long, metadata map<string,string>")
+    r = files.resolve_paths(hit, listing, "/data").first()
+    assert (r.path, r.key) == ("/data/y.md", "source")      # 'source' ranks before 'filename'
