@@ -79,8 +79,8 @@ def chunk_links(chunks: DataFrame, doc_col: str = "doc_id",
                 index_col: str = "chunk_index", id_col: str = "chunk_id") -> DataFrame:
     """Previous / next chunk ids inside a document (window per document)."""
     w = Window.partitionBy(doc_col).orderBy(index_col)
-    return (chunks.withColumn("prev_id", F.lag(id_col).over(w))
-            .withColumn("next_id", F.lead(id_col).over(w)))
+    return chunks.select("*", F.lag(id_col).over(w).alias("prev_id"),
+                         F.lead(id_col).over(w).alias("next_id"))
 
 
 # T7 -------------------------------------------------------------------------
@@ -121,10 +121,14 @@ def markdown_sections(docs: DataFrame, id_col: str = "doc_id",
                              F.sum(F.col("level").isNotNull().cast("int")).over(w_upto).cast("int"))
     # For each level j: position and title of the last heading of level j
     # strictly before this line.
+    # one select, so all 12 running values come from a single Window pass
+    # (a withColumn each would plan 12 Window operators)
+    lasts = []
     for j in range(1, MAX_LEVEL + 1):
         is_j = F.col("level") == j
-        lines = lines.withColumn(f"_p{j}", F.last(F.when(is_j, F.col("pos")), True).over(w_before))
-        lines = lines.withColumn(f"_t{j}", F.last(F.when(is_j, F.col("title")), True).over(w_before))
+        lasts += [F.last(F.when(is_j, F.col("pos")), True).over(w_before).alias(f"_p{j}"),
+                  F.last(F.when(is_j, F.col("title")), True).over(w_before).alias(f"_t{j}")]
+    lines = lines.select("*", *lasts)
     parts = []
     for j in range(1, MAX_LEVEL + 1):
         shallower = [F.coalesce(F.col(f"_p{i}"), F.lit(-1)) for i in range(1, j)]
