@@ -43,9 +43,40 @@ def get_spark(master: str | None = None, app: str = "quarry",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in the Python workers (``--py-files``).
+
+    Pandas UDFs, ``applyInPandas`` and ``mapInPandas`` pickle quarry
+    functions by reference, so the executors need the package. It is
+    zipped once per session and added with ``addPyFile`` (Spark Connect:
+    ``addArtifacts(pyfile=True)``); a no-op when done before.
+    """
+    import zipfile
+    key = id(spark)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="quarry-pyfiles-"), "quarry.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, names in os.walk(pkg):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(root, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    try:
+        spark.sparkContext.addPyFile(out)
+    except Exception:  # noqa: BLE001 - Spark Connect
+        spark.addArtifacts(out, pyfile=True)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
