@@ -42,16 +42,33 @@ def raw_terms(text) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(TERM_PATTERN), 0)
 
 
+_STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
+
+
 def stop_word_array() -> Column:
-    return F.array(*[F.lit(w) for w in STOP_WORDS])
+    """The stop list as one array literal (built by a single SQL expression:
+    127 ``lit`` calls would cost a py4j round trip each)."""
+    return F.expr(f"array({_STOP_SQL})")
 
 
 def terms(text) -> Column:
     """Index terms: lower-cased letter runs without stop words (R3).
 
-    ``isin`` over the fixed list is planned as a hash-set lookup (InSet),
-    not a scan of the list per token."""
-    return F.filter(raw_terms(text), lambda t: ~t.isin(list(STOP_WORDS)))
+    For a named column the whole expression is one SQL string, whose
+    ``IN (...)`` list is planned as a hash-set lookup (InSet). Other
+    inputs (lambda variables, computed columns) test membership in the
+    stop-list array."""
+    if isinstance(text, str) and "." not in text and "`" not in text:
+        return F.expr(f"filter(regexp_extract_all(lower(`{text}`), r'{TERM_PATTERN}', 0), "
+                      f"t -> NOT t IN ({_STOP_SQL}))")
+    stops = stop_word_array()
+    return F.filter(raw_terms(text), lambda t: ~F.array_contains(stops, t))
+
+
+def term_set(text) -> Column:
+    """Distinct index terms in order of first occurrence (hash-based
+    ``array_except`` removes the stop words and the repeats at once)."""
+    return F.array_except(raw_terms(text), stop_word_array())
 
 
 def let(value: Column, body) -> Column:

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import let, sentences, terms
+from quarry.functions.text import let, sentences
+from quarry.functions.text import term_set as _term_set
 
 TAU = 0.6  # fixed value: support threshold
 ERROR_ANSWER = "Error"
@@ -24,7 +25,7 @@ def _c(c) -> Column:
 
 
 def term_set(text) -> Column:
-    return F.array_distinct(terms(text))
+    return _term_set(text)
 
 
 def _share(s_terms: Column, pool: Column) -> Column:
