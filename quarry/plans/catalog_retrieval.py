@@ -65,6 +65,21 @@ def q_format_context(spark, sf):
     return answer.retrieve_context(t.benchmark.withColumnRenamed("item_id", "query_id"), t.documents)
 
 
+@register("context_from_index", ops=("R8", "K4", "R4"), sql=f"""
+WITH {context_cte('benchmark', 'item_id')}
+SELECT query_id, context FROM ctx""")
+def q_context_from_index(spark, sf):
+    """The same answers from a written index (chunk table + postings +
+    statistics) in the shared checkpoint folder: index once, query many."""
+    import uuid
+    from quarry.plans import index_store
+    from quarry.session import ensure_checkpoint_dir
+    t = Tables(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    index_store.build(t.documents, path)
+    return index_store.answer(spark, path, t.benchmark.withColumnRenamed("item_id", "query_id"))
+
+
 def _query_vectors(t):
     """Benchmark items as query vectors (their embeddings)."""
     return (t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from quarry.operators import chat
 from quarry.operators import evaluate as V
 from quarry.plans import answer
-from quarry.session import stage
 
 
 def golden(t) -> DataFrame:
@@ -25,11 +24,6 @@ def records(t) -> DataFrame:
     return V.eval_records(g, hits)
 
 
-def records_staged(t) -> DataFrame:
-    """Evaluation records written once (two metrics read them)."""
-    return stage(records(t), "eval-records")
-
-
 def pair_metrics(t) -> DataFrame:
     """conv_id, turn, faithfulness, answer_relevancy for each reply pair."""
     p = chat.reply_pairs(t.conversations)
@@ -59,4 +53,4 @@ def _long(df: DataFrame, names: list[str]) -> DataFrame:
 def summary(t) -> DataFrame:
     """One row per metric: mean (4 places) and number of scored records."""
     return (_long(pair_metrics(t), ["faithfulness", "answer_relevancy"])
-            .unionByName(_long(record_metrics(records_staged(t)), ["context_recall", "context_precision"])))
+            .unionByName(_long(record_metrics(records(t)), ["context_recall", "context_precision"])))
