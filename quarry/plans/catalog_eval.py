@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quarry.operators import chat
 from quarry.operators import evaluate as V
-from quarry.plans import answer
 from quarry.plans.catalog_chat import PAIRS_SQL
 from quarry.plans.registry import Tables, register
 from quarry.plans.sqlparts import context_cte, embed_cte, supported_fraction_expr, term_set_expr

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.chunk import page_estimate, token_chunks
 from quarry.operators.index import doc_freq, postings
-from quarry.operators.retrieve import (dense_topk, dense_topk_lsh, format_context, format_hit,
-                                       hybrid_merge)
+from quarry.operators.retrieve import dense_topk, dense_topk_lsh, hybrid_merge
 from quarry.plans import answer
 from quarry.plans.registry import Tables, register
 from quarry.plans.sqlparts import bm25_cte, context_cte, dense_cte, terms_expr, token_chunks_cte

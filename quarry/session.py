@@ -125,13 +125,3 @@ def stage(df, name: str = "stage"):
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def default_parallelism_hint(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def scratch_dir(prefix: str = "quarry-") -> str:
-    """A fresh local scratch folder for tests and examples only."""
-    base = os.environ.get("TMPDIR", "/tmp")
-    return tempfile.mkdtemp(prefix=prefix, dir=base)
