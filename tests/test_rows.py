@@ -356,3 +356,24 @@ def test_table_and_listing_fallbacks(spark):
                                 "doc_id long, metadata map<string,string>")
     r = files.resolve_paths(hit, listing, "/data").first()
     assert (r.path, r.key) == ("/data/y.md", "source")      # 'source' ranks before 'filename'
+
+
+# command-line jobs: ingest a folder, ask, evaluate -------------------------------
+def test_cli_jobs(spark, tmp_path):
+    from quarry import cli
+    rows = _write_docs(str(tmp_path / "docs"))
+    idx = str(tmp_path / "index")
+    info = cli.ingest(spark, str(tmp_path / "docs"), idx)
+    assert info["documents"] == len({r["text"] for r in rows})
+    bench = pq.read_table(f"{SF_SMALL}/benchmark.parquet").to_pylist()[:5]
+    qs = [b["text"] for b in bench] + ["   ", "The search query to find relevant documents"]
+    out = {r.query_id: r.context for r in cli.ask(spark, idx, cli.questions_frame(spark, qs)).collect()}
+    assert len(out) == len(qs)
+    assert out[5].startswith("Error: No valid") and out[6].startswith("Error: Tool received")
+    assert all(out[i].startswith("\n\n" + "=" * 50) or out[i].startswith("No relevant") for i in range(5))
+    golden = tmp_path / "golden.jsonl"
+    golden.write_text("\n".join(json.dumps({"question": b["text"], "ground_truth": b["text"]}) for b in bench))
+    res = {r.metric: (r.value, r.n) for r in cli.evaluate(spark, idx, str(golden)).collect()}
+    assert set(res) == {"faithfulness", "context_recall", "context_precision"}
+    assert all(0.0 <= v <= 1.0 for v, n in res.values() if v is not None)
+    assert spark.read.parquet(os.path.join(idx, "vectors")).where(F.size("embedding") != 768).count() == 0
