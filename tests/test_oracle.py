@@ -27,3 +27,14 @@ def test_every_check_runs_rows_only(spark):
     for n, c in CHECKS.items():
         if c.sql is None:
             assert c.fn(spark, SF_SMALL).count() > 0, n
+
+
+def test_sentence_packing_sql_tight_limits(spark, con):
+    """The packing SQL and the Spark fold agree where overlaps are frequent."""
+    from quarry.operators.chunk import sentence_chunks
+    from quarry.plans.catalog_text import _sentence_chunks_sql
+    from quarry.plans.registry import Tables
+    sdf = sentence_chunks(Tables(spark, SF_SMALL).documents, limit=128, overlap=30)
+    res = compare(spark, con, "sentence_chunks_128_30", lambda s, sf: sdf,
+                  _sentence_chunks_sql(limit=128, overlap=30), SF_SMALL)
+    assert res["status"] == "ok" and res["spark_rows"] > 400, res
