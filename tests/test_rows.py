@@ -377,3 +377,17 @@ def test_cli_jobs(spark, tmp_path):
     assert set(res) == {"faithfulness", "context_recall", "context_precision"}
     assert all(0.0 <= v <= 1.0 for v, n in res.values() if v is not None)
     assert spark.read.parquet(os.path.join(idx, "vectors")).where(F.size("embedding") != 768).count() == 0
+
+
+def test_streaming_dedupe_with_watermark(spark, tmp_path):
+    """Bounded state: keys expire after the watermark; within it, copies
+    are still dropped (all files here share one modification window)."""
+    from quarry.streaming.ingest import dedupe_documents, document_stream
+    src = tmp_path / "src"
+    rows = _write_docs(str(src), sf=SF_SMALL, sub_batches=2)
+    stream = dedupe_documents(document_stream(spark, str(src), max_files_per_trigger=120),
+                              watermark="1 hour")
+    q = (stream.writeStream.format("memory").queryName("dedup_wm")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    assert spark.table("dedup_wm").count() == len({r["text"] for r in rows})
