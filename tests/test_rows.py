@@ -391,3 +391,19 @@ def test_streaming_dedupe_with_watermark(spark, tmp_path):
          .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
     q.awaitTermination(300)
     assert spark.table("dedup_wm").count() == len({r["text"] for r in rows})
+
+
+# P14 percent-encoding, P16 model listing ------------------------------------------
+def test_quote_plus_and_model_listing(spark):
+    from urllib.parse import quote_plus
+    from quarry.functions.exprs import mask_password, quote_plus as qp
+    from quarry.operators.chat import models_listing
+    vals = ["p@ss word/1", "ä&b=c", "plain", "a+b%20"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = [r.q for r in df.select(qp("v").alias("q")).collect()]
+    assert got == [quote_plus(v) for v in vals]
+    m = spark.createDataFrame([("postgresql://u:secret@h:5432/db",), ("http://h/x",)], "u string")
+    assert [r.m for r in m.select(mask_password("u").alias("m")).collect()] == [
+        "postgresql://u:******@h:5432/db", "http://h/x"]
+    row = models_listing(spark).first()
+    assert row.object == "model" and row.context_length == 131072
