@@ -407,3 +407,19 @@ def test_quote_plus_and_model_listing(spark):
         "postgresql://u:******@h:5432/db", "http://h/x"]
     row = models_listing(spark).first()
     assert row.object == "model" and row.context_length == 131072
+
+
+def test_retrieval_view_and_response_json(spark, tmp_path):
+    from quarry.operators import chat
+    from quarry.plans import index_store
+    t = Tables(spark, SF_SMALL)
+    index_store.build(t.documents, str(tmp_path / "store"), buckets=4)
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    index_store.register_view(spark, str(tmp_path / "store"), q)
+    assert spark.sql("SELECT count(*) AS n FROM retrieval").first().n == 40
+    pairs = chat.reply_pairs(t.conversations)
+    last = pairs.groupBy("conv_id").agg(F.max_by("answer", "turn").alias("answer"))
+    body = chat.response_json(chat.chat_response(last)).first().body
+    parsed = json.loads(body)
+    assert parsed["object"] == "chat.completion" and parsed["choices"][0]["message"]["role"] == "assistant"
+    assert parsed["usage"] == {"prompt_tokens": 0, "completion_tokens": 0, "total_tokens": 0}
