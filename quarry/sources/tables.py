@@ -38,14 +38,16 @@ def ensure_parallelism(df: DataFrame, key: str, min_partitions: int | None = Non
     """Hash-partition by ``key`` when the scan has fewer partitions than
     cores. Deterministic (hash, not round robin), so a lost task is
     recomputed with the same rows, and later joins or aggregations keyed
-    by ``key`` reuse the partitioning."""
+    by ``key`` reuse the partitioning. No partition count is fixed: AQE
+    coalesces the shuffle from its measured size, so a small lookup table
+    on a large cluster does not become thousands of empty partitions."""
     try:
         want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): keep the scan as is
         return df
     if have < want:
-        return df.repartition(want, key)
+        return df.repartition(key)
     return df
 
 
