@@ -32,9 +32,9 @@ def ingest(spark: SparkSession, input_dir: str, index_dir: str, dedupe: bool = T
     docs = read_documents(spark, input_dir).withColumn("source", F.col("file_name"))
     if dedupe:
         docs = dedup_keep_first(docs, "text", "doc_id")
-    index_store.build(docs, index_dir)
+    index_store.build(docs, index_dir, dim=768)
     vectors = vector_rows(docs.select("doc_id", "text"))
-    vectors.write.mode("overwrite").parquet(os.path.join(index_dir, "vectors"))
+    vectors.write.mode("overwrite").parquet(os.path.join(index_dir, "contextual_vectors"))
     chunks, _, stats = index_store.open_index(spark, index_dir)
     row = stats.first()            # the text index is over chunks
     return {"documents": chunks.select("doc_id").distinct().count(),
@@ -45,14 +45,16 @@ def questions_frame(spark: SparkSession, questions: list[str]) -> DataFrame:
     return spark.createDataFrame([(i, q) for i, q in enumerate(questions)], "query_id long, text string")
 
 
-def ask(spark: SparkSession, index_dir: str, questions: DataFrame, k: int = 2) -> DataFrame:
-    """query_id, context (the formatted retrieval context)."""
+def ask(spark: SparkSession, index_dir: str, questions: DataFrame, k: int = 2,
+        hybrid: bool = True) -> DataFrame:
+    """query_id, context (the formatted retrieval context; dense + sparse
+    hits merged, as the original tool does, unless ``hybrid`` is off)."""
     from quarry.operators.retrieve import normalize_query
     from quarry.plans import index_store
     text, status = normalize_query("text")
     q = questions.select("query_id", text.alias("text"), status.alias("status"))
     ok = q.where(F.col("status") == "ok").select("query_id", "text")
-    answered = index_store.answer(spark, index_dir, ok, k=k)
+    answered = index_store.answer(spark, index_dir, ok, k=k, hybrid=hybrid)
     rejected = q.where(F.col("status") != "ok").select("query_id", F.col("status").alias("context"))
     return answered.unionByName(rejected)
 
@@ -86,6 +88,7 @@ def main(argv: list[str] | None = None) -> int:
     b.add_argument("--index", required=True)
     b.add_argument("--question", action="append", required=True)
     b.add_argument("--k", type=int, default=2)
+    b.add_argument("--sparse-only", action="store_true")
     c = sub.add_parser("evaluate")
     c.add_argument("--index", required=True)
     c.add_argument("--golden", required=True)
@@ -95,7 +98,8 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(ingest(spark, args.input, args.index)))
     elif args.cmd == "ask":
         # a handful of questions: their answers are printed on the driver
-        for r in ask(spark, args.index, questions_frame(spark, args.question), args.k) \
+        for r in ask(spark, args.index, questions_frame(spark, args.question), args.k,
+                     hybrid=not args.sparse_only) \
                 .orderBy("query_id").collect():
             print(f"### {args.question[r.query_id]}\n{r.context}\n")
     else:

@@ -164,6 +164,34 @@ def test_answer_from_written_index(spark, tmp_path):
     assert a == b and len(a) == 40
 
 
+def test_hybrid_answer_from_index(spark, tmp_path):
+    """Hybrid hits = dense hits first, then sparse hits, each chunk once."""
+    from quarry.operators.embed import hash_embed_sparse, sparse_to_dense
+    from quarry.operators.retrieve import dense_topk
+    from quarry.plans import index_store
+    t = Tables(spark, SF_SMALL)
+    store = str(tmp_path / "store")
+    index_store.build(t.documents, store, buckets=4, dim=64)
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    got = index_store.hybrid_hits(spark, store, q).collect()
+    chunks = spark.read.parquet(store + "/chunks")
+    vec = spark.read.parquet(store + "/vectors")
+    qv = sparse_to_dense(hash_embed_sparse(q, "query_id", dim=64), "query_id", 64)
+    d = (dense_topk(qv, vec, k=2, query_id="query_id", vec_id="chunk_key")
+         .join(chunks.select(F.col("chunk_key").alias("doc_id"), "chunk_id"), "doc_id"))
+    dense = {(r.query_id, r.rank): r.chunk_id for r in d.collect()}
+    for r in got:
+        if r.source_kind == "dense":
+            assert dense[(r.query_id, r.rank)] == r.doc_id
+    by_q = {}
+    for r in got:
+        by_q.setdefault(r.query_id, []).append((r.rank, r.doc_id))
+    for hits in by_q.values():
+        ids = [h for _, h in sorted(hits)]
+        assert len(ids) == len(set(ids)) and len(ids) <= 4
+        assert sorted(r for r, _ in hits) == list(range(1, len(hits) + 1))
+
+
 # R5: salted path (no broadcast) equals the broadcast path ----------------------
 def test_bm25_salted_equals_broadcast(spark):
     t = Tables(spark, SF_SMALL)
@@ -376,7 +404,14 @@ def test_cli_jobs(spark, tmp_path):
     res = {r.metric: (r.value, r.n) for r in cli.evaluate(spark, idx, str(golden)).collect()}
     assert set(res) == {"faithfulness", "context_recall", "context_precision"}
     assert all(0.0 <= v <= 1.0 for v, n in res.values() if v is not None)
-    assert spark.read.parquet(os.path.join(idx, "vectors")).where(F.size("embedding") != 768).count() == 0
+    assert spark.read.parquet(os.path.join(idx, "contextual_vectors")).where(F.size("embedding") != 768).count() == 0
+    assert spark.read.parquet(os.path.join(idx, "vectors")).count() == info["chunks"]
+    # hybrid answers hold up to 2k hits; sparse-only ones at most k
+    hy = {r.query_id: r.context.count("**Document Chunk ") for r in
+          cli.ask(spark, idx, cli.questions_frame(spark, qs[:5])).collect()}
+    sp = {r.query_id: r.context.count("**Document Chunk ") for r in
+          cli.ask(spark, idx, cli.questions_frame(spark, qs[:5]), hybrid=False).collect()}
+    assert all(sp[i] <= hy[i] <= 4 for i in range(5)) and any(hy[i] > sp[i] for i in range(5))
 
 
 def test_streaming_dedupe_with_watermark(spark, tmp_path):
