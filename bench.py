@@ -78,8 +78,9 @@ def main() -> None:
         "sparse_topk_indexed": bm25_indexed,
         "sparse_topk": lambda: run(answer.sparse_hits(t.benchmark, t.documents)),
         "format_context": lambda: run(answer.retrieve_context(bench_q, t.documents)),
-        "chunk_index_build": lambda: index_store.build(t.documents, store_path),
+        "chunk_index_build": lambda: index_store.build(t.documents, store_path, dim=768),
         "format_context_indexed": lambda: run(index_store.answer(spark, store_path, bench_q)),
+        "hybrid_context_indexed": lambda: run(index_store.answer(spark, store_path, bench_q, hybrid=True)),
         "dense_topk": lambda: run(dense_topk(qv, t.embeddings, k=2, exclude_self=True)),
         "dense_topk_lsh": lambda: run(dense_topk_lsh(qv, t.embeddings, k=2, exclude_self=True)),
         "hash_embed_docs": lambda: run(hash_embed_sparse(t.documents, "doc_id")),
