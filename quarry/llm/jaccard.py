@@ -274,7 +274,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
     blocks = (cand.groupBy("comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
               .select("comp", F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("t") / BLOCK_TOKENS)).cast("int").alias("nb")))
     cand = staged(cand.join(blocks, "comp").withColumn("blk", F.expr("cast(pmod(sid, nb) as int)")), "blocks")
-    joined = named.join(cand.select("sid", "id", "th", "weight", "comp", "blk", "nb"), ["id", "th"])
+    # the same plan at every size: a broadcast of few candidates would flip to a shuffle of all texts
+    joined = named.join(cand.select("sid", "id", "th", "weight", "comp", "blk", "nb").hint("merge"), ["id", "th"])
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1),
                                  lambda o: F.struct(F.least("blk", o).alias("bi"), F.greatest("blk", o).alias("bj"))))
     spread = (joined.select(F.col("sid").alias("id"), "text", F.col("weight"), "comp", "blk", pair.alias("b"))
