@@ -70,12 +70,13 @@ def chunks(off: np.ndarray, size: int = CHUNK):
         i = j
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the rows' offsets into them."""
+def words(buf: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the rows' offsets into them; ``between`` says
+    which bytes separate words."""
     n = len(buf)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    inside = ~_SPACE[buf]
+    inside = ~between[buf]
     first = np.zeros(n + 1, dtype=bool)
     first[off] = True
     start = inside.copy()
