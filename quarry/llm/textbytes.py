@@ -70,12 +70,9 @@ def chunks(off: np.ndarray, size: int = CHUNK):
         i = j
 
 
-def words(buf: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the rows' offsets into them; ``between`` says
-    which bytes separate words."""
+def _spans(buf: np.ndarray, off: np.ndarray, between: np.ndarray):
+    """First and last bytes of all words, and prefix hashes of ``buf``."""
     n = len(buf)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     inside = ~between[buf]
     first = np.zeros(n + 1, dtype=bool)
     first[off] = True
@@ -83,12 +80,35 @@ def words(buf: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE) -> tup
     start[1:] &= ~inside[:-1] | first[1:n]
     end = inside.copy()
     end[:-1] &= ~inside[1:] | first[1:n]
-    s, e = np.flatnonzero(start), np.flatnonzero(end)
     prefix = np.empty(n + 1, dtype=np.uint64)
     prefix[0] = 0
     np.cumsum(_CODES[buf] * powers(BASE, n), out=prefix[1:])
-    h = (prefix[e + 1] - prefix[s]) * powers(_INV, n)[s]
-    return mix(h + (e - s + 1).astype(np.uint64) * U(0xD6E8FEB86659FD93)), np.searchsorted(s, off).astype(np.int64)
+    return np.flatnonzero(start), np.flatnonzero(end), prefix
+
+
+def words(buf: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE, stems: tuple[int, ...] = ()):
+    """Hashes of all words, and the rows' offsets into them; ``between`` says
+    which bytes separate words. With ``stems`` also (hashes, rows) of the
+    first bytes of all longer words, for each length in it."""
+    n = len(buf)
+    if n == 0:
+        none = np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return (*none, np.zeros(0, np.uint64), np.zeros(0, np.int64)) if stems else none
+    s, e, prefix = _spans(buf, off, between)
+    inv = powers(_INV, n)[s]
+
+    def hashed(size):
+        return mix((prefix[s + size] - prefix[s]) * inv + np.asarray(size).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    whole = hashed(e - s + 1), np.searchsorted(s, off).astype(np.int64)
+    if not stems:
+        return whole
+    row = np.repeat(np.arange(len(off) - 1), np.diff(whole[1]))
+    more, rows = [], []
+    for k in stems:
+        long = np.flatnonzero(e - s + 1 > k)
+        more.append(mix((prefix[s[long] + k] - prefix[s[long]]) * inv[long] + U(k * 0xA0761D6478BD642F % (1 << 64))))
+        rows.append(row[long])
+    return (*whole, np.concatenate(more), np.concatenate(rows))
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
