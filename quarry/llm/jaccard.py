@@ -247,8 +247,8 @@ def _verify(k: int, p: int, q: int):
 
 def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, n_links, component_id), one row per row of
-    ``docs``: documents link when den * |A ∩ B| >= num * |A ∪ B| over their
+    """(doc_id, text_hash, n_shingles, n_links, component_id), one row per row
+    of ``docs``: documents link when den * |A ∩ B| >= num * |A ∪ B| over their
     sets of distinct k-word shingles.
 
     Null and empty texts and texts without words have no shingles and link
@@ -297,8 +297,19 @@ def _classes(sig: DataFrame, reps: DataFrame, done: DataFrame) -> DataFrame:
     full = (sets.join(linked, "sid", "left").join(place, "sid", "left")
             .select("a", "z", "n", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
                     F.coalesce("top", "rep").alias("component_id")))
-    return (sig.select("id", F.col("n"), "a", "z")
+    return (sig.select("id", "th", F.col("n"), "a", "z")
             .join(full, ["n", "a", "z"], "left")
-            .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+            .select(F.col("id").alias("doc_id"), F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"),
                     F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
                     F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "id")).alias("component_id")))
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their class. Rows that
+    repeat an id (null included) and a text are one document, of which one
+    row stays; other columns are kept, whatever their names."""
+    classes = jaccard_classes(docs, k, num, den, id_col, text_col)
+    stay = (classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("th")).alias("key")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")).alias("key"))
+    return rows.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
