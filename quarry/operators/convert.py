@@ -13,46 +13,67 @@ from pyspark.sql import functions as F
 
 # The block rule.
 DROPPED_ELEMENTS = ("script", "style", "nav", "footer")
-BLOCK_OPEN = ("h1", "p", "li", "title")
-BLOCK_CLOSE = ("h1", "p", "li", "ul", "article", "div", "body", "html", "title", "head")
+BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th", "pre", "blockquote", "dt", "dd", "caption", "title")
+CONTAINERS = ("html", "head", "body", "div", "section", "article", "main", "header", "aside", "form", "figure", "figcaption",
+              "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "hr", "br")
+OTHER = "text"
 BREAK = "\x01"
 KIND_END = "\x02"
-MARKDOWN_PREFIX = {"h1": "# ", "li": "- ", "p": ""}
+MARKDOWN_PREFIX = {"h1": "# ", "h2": "## ", "h3": "### ", "h4": "#### ", "h5": "##### ", "h6": "###### ", "li": "- "}
+ENTITY = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def decode_entities(text: str) -> str:
+    """SQL: ``text`` with its character references decoded, each once (so
+    ``&amp;lt;`` gives ``&lt;``); unknown names stay as they are."""
+    from html.entities import name2codepoint
+    names = ", ".join(f"'{n}', {c}" for n, c in sorted(name2codepoint.items()) + [("apos", 39)])
+    code = (f"case when name like '#x%' or name like '#X%' then cast(conv(substring(name, 3), 16, 10) as int)"
+            f" when name like '#%' then cast(substring(name, 2) as int) else names[name] end")
+    char = ("if(code is null or code <= 0 or code > 1114111 or (code >= 55296 and code <= 57343), concat('&', name, ';'),"
+            " decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32'))")
+
+    def let(name, value, body):
+        return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    one = let("code", code, char)
+    many = (f"array_join(transform(sequence(0, size(rest) - 1), i -> concat(rest[i], if(i < size(found),"
+            f" {let('name', 'coalesce(get(found, i), cast(null as string))', one)}, ''))), '')")
+    body = let("names", f"map({names})", let("found", f"regexp_extract_all({text}, r'{ENTITY}', 1)",
+                                             let("rest", f"split({text}, r'{ENTITY}', -1)", many)))
+    return f"case when contains({text}, '&') then {body} else {text} end"
 
 
 def page_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, block_pos, kind, text) for every text block of a page.
+    """(page_id, block_pos, kind, text) for every piece of text of a page.
 
     Elements that never hold body text (script, style, nav, footer) and
-    comments are removed; block closing tags end a block, block opening
-    tags start one and record its kind. Unclosed ``<p>`` tags are handled
-    because every opening tag also breaks. Inline tags become spaces, runs
-    of whitespace one space. Positions follow the page order (with gaps).
+    comments are removed. Every opening or closing tag of a block or a
+    container ends a piece; a piece that a block tag opens has that tag as its
+    kind, all other text is kind ``text``, so no text is lost. Inline tags become
+    spaces, runs of whitespace one space, character references are decoded.
+    Positions follow the page order (with gaps).
     """
     h = F.col(html_col)
     for tag in DROPPED_ELEMENTS:
         h = F.regexp_replace(h, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
     h = F.regexp_replace(h, r"(?s)<!--.*?-->", " ")
-    h = F.regexp_replace(h, rf"(?i)</({'|'.join(BLOCK_CLOSE)})\s*>", BREAK)
-    h = F.regexp_replace(h, rf"(?i)<({'|'.join(BLOCK_OPEN)})(\s[^>]*)?>", BREAK + "$1" + KIND_END)
+    h = F.regexp_replace(h, rf"(?i)<({'|'.join(BLOCKS)})(\s[^>]*)?/?>", BREAK + "$1" + KIND_END)
+    h = F.regexp_replace(h, rf"(?i)</?({'|'.join(BLOCKS + CONTAINERS)})(\s[^>]*)?/?>", BREAK + OTHER + KIND_END)
     # outer explode: an inner one makes Catalyst push ``size(split(..)) > 0``
     # to the scan, which would run the whole regex chain twice
-    pieces = pages.select(F.col(id_col), F.posexplode_outer(F.split(h, BREAK)).alias("block_pos", "piece"))
-    pieces = pieces.where(F.col("piece").contains(KIND_END))
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.substring_index("piece", KIND_END, -1),
-                                                    r"<[^>]*>", " "), r"\s+", " "))
-    out = pieces.select(F.col(id_col), "block_pos",
-                        F.lower(F.substring_index("piece", KIND_END, 1)).alias("kind"),
-                        text.alias("text"))
-    return out.where(F.length("text") > 0)
+    pieces = pages.select(F.col(id_col), F.posexplode_outer(F.split(F.concat(F.lit(OTHER + KIND_END), h), BREAK)).alias("block_pos", "piece"))
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.substring_index("piece", KIND_END, -1), r"<[^>]*>", " "), r"\s+", " "))
+    out = pieces.where(F.col("piece").isNotNull()).select(
+        F.col(id_col), "block_pos", F.lower(F.substring_index("piece", KIND_END, 1)).alias("kind"), text.alias("text"))
+    return out.where(F.length("text") > 0).withColumn("text", F.expr(decode_entities("text")))
 
 
 def blocks_to_markdown(blocks: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(page_id, markdown, n_blocks): body blocks rendered in page order,
-    headings as '# ', list items as '- ', paragraphs as is, joined by a
-    blank line. Grouped per page (bounded by the page's own size)."""
-    prefix = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in MARKDOWN_PREFIX.items()])
-    body = blocks.where(F.col("kind").isin(*MARKDOWN_PREFIX.keys()))
+    headings with one '#' for each level, list items as '- ', all else
+    but the title as is, joined by a blank line. Grouped per page (bounded by the page's own size)."""
+    prefix = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in MARKDOWN_PREFIX.items()], F.lit(""))
+    body = blocks.where(F.col("kind") != "title")
     md = body.select(id_col, "block_pos", F.concat(prefix, F.col("text")).alias("md"))
     return (md.groupBy(id_col)
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_pos", "md"))),

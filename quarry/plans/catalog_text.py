@@ -19,29 +19,52 @@ from quarry.plans.sqlparts import token_chunks_cte
 # ---------------------------------------------------------------------------
 
 
-def _blocks_cte() -> str:
-    h = "html"
+# markup that the raw pages lack, put behind each page
+MORE_HTML = ("<h2>Head two</h2><table><caption>Cap</caption><tr><th>k</th><td>v &lt;1&gt; &amp;amp; x</td></tr></table>"
+             "<pre>keep  this</pre><blockquote>quoted &#233;&#x2014;</blockquote><div>bare <b>bold</b> text<br/>after</div><dl><dt>t</dt><dd>d</dd></dl>tail")
+
+
+def more_pages(pages):
+    return pages.select("page_id", F.concat("html", F.lit(MORE_HTML)).alias("html"))
+
+
+def _clean_html(h: str) -> str:
     for tag in ("script", "style", "nav", "footer"):
         h = f"regexp_replace({h}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
-    h = f"regexp_replace({h}, '(?s)<!--.*?-->', ' ', 'g')"
-    close = "h1|p|li|ul|article|div|body|html|title|head"
-    h = f"regexp_replace({h}, '(?i)</({close})\\s*>', chr(1), 'g')"
-    h = f"regexp_replace({h}, '(?i)<(h1|p|li|title)(\\s[^>]*)?>', chr(1) || '\\1' || chr(2), 'g')"
+    return f"regexp_replace({h}, '(?s)<!--.*?-->', ' ', 'g')"
+
+
+def _decoded(t: str) -> str:
+    """The references that the pages have; the ampersand comes last."""
+    for name, c in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("apos", "chr(39)"), ("nbsp", "chr(160)"), ("#39", "chr(39)"),
+                    ("#233", "chr(233)"), ("#x2014", "chr(8212)"), ("amp", "'&'")):
+        t = f"replace({t}, '&{name};', {c})"
+    return t
+
+
+def _blocks_cte() -> str:
+    h = _clean_html(f"html || '{MORE_HTML}'")
+    block = "h1|h2|h3|h4|h5|h6|p|li|td|th|pre|blockquote|dt|dd|caption|title"
+    other = ("html|head|body|div|section|article|main|header|aside|form|figure|figcaption|ul|ol|dl|table|thead|tbody|tfoot|tr|hr|br")
+    h = f"regexp_replace({h}, '(?i)<({block})(\\s[^>]*)?/?>', chr(1) || '\\1' || chr(2), 'g')"
+    h = f"regexp_replace({h}, '(?i)</?({block}|{other})(\\s[^>]*)?/?>', chr(1) || 'text' || chr(2), 'g')"
     return f"""
-_h AS (SELECT page_id, string_split({h}, chr(1)) AS parts FROM pages),
+_h AS (SELECT page_id, string_split('text' || chr(2) || {h}, chr(1)) AS parts FROM pages),
 _pc AS (SELECT page_id, unnest(parts) AS piece, unnest(range(len(parts))) AS block_pos FROM _h),
-blocks AS (SELECT page_id, CAST(block_pos AS INTEGER) AS block_pos,
+_raw AS (SELECT page_id, CAST(block_pos AS INTEGER) AS block_pos,
                   lower(split_part(piece, chr(2), 1)) AS kind,
                   trim(regexp_replace(regexp_replace(split_part(piece, chr(2), 2), '<[^>]*>', ' ', 'g'),
                                       '\\s+', ' ', 'g')) AS text
-           FROM _pc WHERE contains(piece, chr(2)))"""
+           FROM _pc),
+blocks AS (SELECT page_id, block_pos, kind, {_decoded('text')} AS text FROM _raw WHERE length(text) > 0)"""
 
 
 def _markdown_docs_sql() -> str:
     first = "split_part(text, chr(10), 1)"
     return (f"SELECT doc_id, source, '# ' || source || chr(10) || '## Document ' || CAST(doc_id AS VARCHAR)"
             f" || chr(10) || {first} || chr(10) || '```' || chr(10) || '# not a heading' || chr(10)"
-            f" || '```' || chr(10) || '### Details' || chr(10) || substr(text, length({first}) + 2) AS text"
+            f" || '```' || chr(10) || '### Details' || chr(10) || substr(text, length({first}) + 2)"
+            f" || chr(10) || '####### Deep' || chr(10) || 'x' || chr(10) || '######### Deeper' || chr(10) || 'y' || chr(10) || '######## Between' AS text"
             f" FROM documents")
 
 
@@ -49,16 +72,6 @@ def _sections_cte(src: str) -> str:
     head = "'(?s)^(#+)\\s(.*)'"
     w_before = "(PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     w_upto = "(PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    lasts = ",\n".join(
-        f"last_value(CASE WHEN level = {j} THEN pos END IGNORE NULLS) OVER {w_before} AS p{j}, "
-        f"last_value(CASE WHEN level = {j} THEN title END IGNORE NULLS) OVER {w_before} AS t{j}"
-        for j in range(1, 7))
-    parts = []
-    for j in range(1, 7):
-        shallower = ", ".join([f"coalesce(p{i}, -1)" for i in range(1, j)] + ["-1"])
-        parts.append(f"CASE WHEN level > {j} AND p{j} IS NOT NULL AND p{j} > greatest({shallower}) "
-                     f"THEN t{j} END")
-    anc = f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
     return f"""
 _md AS ({src}),
 _l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
@@ -71,12 +84,14 @@ _hd AS (SELECT *, CASE WHEN fences_before % 2 = 0 AND fence = 0
 _t AS (SELECT *, CASE WHEN level IS NOT NULL THEN trim(regexp_extract(line, {head}, 2)) END AS title,
               sum(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) OVER {w_upto} AS section_index
        FROM _hd),
-_a AS (SELECT *, {lasts} FROM _t),
-_pth AS (SELECT doc_id, pos, line, section_index,
-                CASE WHEN level IS NOT NULL THEN
-                  CASE WHEN len({anc}) = 0 THEN '/' ELSE '/' || array_to_string({anc}, '/') || '/' END
-                END AS path
-         FROM _a),
+_hh AS (SELECT doc_id, pos, level, title FROM _t WHERE level IS NOT NULL),
+_up AS (SELECT h.doc_id, h.pos, string_agg(a.title, '/' ORDER BY a.pos) AS anc
+        FROM _hh h JOIN _hh a ON a.doc_id = h.doc_id AND a.pos < h.pos AND a.level < h.level
+        WHERE NOT EXISTS (SELECT 1 FROM _hh b WHERE b.doc_id = h.doc_id AND b.pos > a.pos AND b.pos < h.pos AND b.level <= a.level)
+        GROUP BY h.doc_id, h.pos),
+_pth AS (SELECT _t.doc_id, _t.pos, line, section_index,
+                CASE WHEN level IS NOT NULL THEN coalesce('/' || anc || '/', '/') END AS path
+         FROM _t LEFT JOIN _up ON _up.doc_id = _t.doc_id AND _up.pos = _t.pos),
 sections AS (SELECT doc_id, CAST(section_index AS INTEGER) AS section_index,
                     coalesce(max(path), '/') AS header_path,
                     string_agg(line, chr(10) ORDER BY pos) AS text
@@ -89,16 +104,18 @@ SENT_SQL = ("list_filter(list_transform(regexp_extract_all({t}, '[^.!?]+[.!?]*')
 
 
 def _lead_sql(text: str) -> str:
-    return SENT_SQL.format(t=f"substring({text}, 1, 8000)") + "[1]"
+    return SENT_SQL.format(t=text) + "[1]"
 
 
 def markdown_docs(documents):
     """Markdown built per document: '# <source>', '## Document <id>', the
-    first line, a code fence holding a '#' line, '### Details', the rest."""
+    first line, a code fence holding a '#' line, '### Details', the rest, and
+    headings deeper than HTML has."""
     first = F.substring_index("text", "\n", 1)
     rest = F.expr("substr(text, length(substring_index(text, char(10), 1)) + 2)")
     md = F.concat(F.lit("# "), F.col("source"), F.lit("\n## Document "), F.col("doc_id").cast("string"),
-                  F.lit("\n"), first, F.lit("\n```\n# not a heading\n```\n### Details\n"), rest)
+                  F.lit("\n"), first, F.lit("\n```\n# not a heading\n```\n### Details\n"), rest,
+                  F.lit("\n####### Deep\nx\n######### Deeper\ny\n######## Between"))
     return documents.select("doc_id", "source", md.alias("text"))
 
 
@@ -109,19 +126,32 @@ def markdown_docs(documents):
 WITH {_blocks_cte()}
 SELECT page_id, block_pos, kind, text FROM blocks WHERE length(text) > 0""")
 def q_page_blocks(spark, sf):
-    return page_blocks(Tables(spark, sf).pages)
+    return page_blocks(more_pages(Tables(spark, sf).pages))
+
+
+@register("page_text_kept", ops=("T1",), sql=f"""
+WITH b AS (SELECT page_id, string_split(trim(regexp_replace(regexp_replace({_clean_html(f"html || '{MORE_HTML}'")}, '<[^>]*>', ' ', 'g'),
+                                                            '\\s+', ' ', 'g')), ' ') AS words FROM pages)
+SELECT page_id, len(words) AS n_words, md5({_decoded("array_to_string(words, ' ')")}) AS digest FROM b WHERE len(words) > 0""")
+def q_page_text_kept(spark, sf):
+    """All words of the blocks, in order, are the words of the page."""
+    b = page_blocks(more_pages(Tables(spark, sf).pages))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_pos", "text"))), lambda x: x["text"]), " ")
+    return (b.groupBy("page_id").agg(text.alias("text"))
+            .select("page_id", F.size(F.split("text", " ")).cast("long").alias("n_words"), F.md5("text").alias("digest")))
 
 
 @register("blocks_to_markdown", ops=("K2",), sql=f"""
 WITH {_blocks_cte()}
 SELECT page_id,
-       string_agg(CASE kind WHEN 'h1' THEN '# ' WHEN 'li' THEN '- ' ELSE '' END || text,
+       string_agg(CASE WHEN kind = 'li' THEN '- ' WHEN regexp_matches(kind, '^h[1-6]$')
+                         THEN repeat('#', CAST(substr(kind, 2) AS INT)) || ' ' ELSE '' END || text,
                   chr(10) || chr(10) ORDER BY block_pos) AS markdown,
        count(*) AS n_blocks
-FROM blocks WHERE length(text) > 0 AND kind IN ('h1', 'li', 'p')
+FROM blocks WHERE kind <> 'title'
 GROUP BY page_id""")
 def q_blocks_to_markdown(spark, sf):
-    return blocks_to_markdown(page_blocks(Tables(spark, sf).pages))
+    return blocks_to_markdown(page_blocks(more_pages(Tables(spark, sf).pages)))
 
 
 # ---------------------------------------------------------------------------
@@ -144,11 +174,13 @@ def q_chunk_links(spark, sf):
 
 
 @register("two_line_cap", ops=("T7",), sql="""
-SELECT conv_id, turn, array_to_string(list_slice(string_split(trim(text), chr(10)), 1, 2), chr(10)) AS summary
+SELECT conv_id, turn, array_to_string(list_slice(string_split(
+  trim(chr(10) || ' ' || text || chr(9), ' ' || chr(9) || chr(10) || chr(13)), chr(10)), 1, 2), chr(10)) AS summary
 FROM conversations WHERE role = 'assistant'""")
 def q_two_line_cap(spark, sf):
     c = Tables(spark, sf).conversations.where(F.col("role") == "assistant")
-    return c.select("conv_id", "turn", C.first_lines("text", 2).alias("summary"))
+    padded = F.concat(F.lit("\n "), F.col("text"), F.lit("\t"))
+    return c.select("conv_id", "turn", C.first_lines(padded, 2).alias("summary"))
 
 
 def _sentence_chunks_sql(limit: int = 1024, overlap: int = 50) -> str:
