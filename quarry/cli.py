@@ -23,9 +23,10 @@ def _session(master: str | None) -> SparkSession:
     return get_spark(master, app="quarry-cli")
 
 
-def ingest(spark: SparkSession, input_dir: str, index_dir: str, dedupe: bool = True) -> dict:
-    """Whole files -> (keep-first de-duplication) -> chunk table + text
-    index + contextual vector table under ``index_dir``."""
+def ingest(spark: SparkSession, input_dir: str, index_dir: str, dedupe: bool = False) -> dict:
+    """Whole files -> chunk table + text index + contextual vector table
+    under ``index_dir``. Every file is a document of its own; ``dedupe`` keeps
+    the first of files with one content."""
     from quarry.plans import index_store
     from quarry.plans.ingest import vector_rows
     from quarry.sources.files import dedup_keep_first, read_documents
@@ -84,6 +85,7 @@ def main(argv: list[str] | None = None) -> int:
     a = sub.add_parser("ingest")
     a.add_argument("--input", required=True)
     a.add_argument("--index", required=True)
+    a.add_argument("--dedupe-content", action="store_true", help="keep the first of files with equal texts")
     b = sub.add_parser("ask")
     b.add_argument("--index", required=True)
     b.add_argument("--question", action="append", required=True)
@@ -95,7 +97,7 @@ def main(argv: list[str] | None = None) -> int:
     args = ap.parse_args(argv)
     spark = _session(args.master)
     if args.cmd == "ingest":
-        print(json.dumps(ingest(spark, args.input, args.index)))
+        print(json.dumps(ingest(spark, args.input, args.index, args.dedupe_content)))
     elif args.cmd == "ask":
         # a handful of questions: their answers are printed on the driver
         for r in ask(spark, args.index, questions_frame(spark, args.question), args.k,

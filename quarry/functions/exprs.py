@@ -96,7 +96,9 @@ def url_database(u) -> Column:
 
 # P14 ------------------------------------------------------------------------
 def mask_password(u) -> Column:
-    return F.regexp_replace(_c(u), r"(://[^:/@]+):[^@]*@", "$1:******@")
+    """The password of an URL's authority, which ends at its last ``@``;
+    the user may be empty, and a port or a path is no password."""
+    return F.regexp_replace(_c(u), r"(://[^:/?#]*):[^/?#]*@", "$1:******@")
 
 
 def quote_plus(s) -> Column:

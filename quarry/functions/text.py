@@ -32,6 +32,12 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(text) -> Column:
+    """White space of any kind removed at both ends (``trim`` only removes
+    blanks)."""
+    return F.regexp_replace(_c(text), r"^\s+|\s+\z", "")
+
+
 def words(text) -> Column:
     """Whitespace tokens of a text, in order (ARRAY<STRING>)."""
     return F.regexp_extract_all(_c(text), F.lit(WORD_PATTERN), 0)

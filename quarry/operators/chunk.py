@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import let, sentences, words
+from quarry.functions.text import let, sentences, strip, words
 
 # Chunking parameters of the ingest.
 TOKEN_CHUNK_SIZE = 800
@@ -85,13 +85,12 @@ def chunk_links(chunks: DataFrame, doc_col: str = "doc_id",
 
 # T7 -------------------------------------------------------------------------
 def first_lines(text, n: int = 2) -> Column:
-    """Keep the first n lines of a (trimmed) text."""
-    return F.array_join(F.slice(F.split(F.trim(_c(text)), "\n"), 1, n), "\n")
+    """Keep the first n lines of a text without white space at its ends."""
+    return F.array_join(F.slice(F.split(strip(text), "\n"), 1, n), "\n")
 
 
 # T2 -------------------------------------------------------------------------
 HEADING = r"(?s)^(#+)\s(.*)"
-MAX_LEVEL = 6
 
 
 def markdown_sections(docs: DataFrame, id_col: str = "doc_id",
@@ -100,6 +99,8 @@ def markdown_sections(docs: DataFrame, id_col: str = "doc_id",
 
     Output: doc_id, section_index, header_path, text (heading line included).
     ``header_path`` is '/' + ancestor titles joined by '/' + '/', or '/'.
+    Headings may have any level; the deepest one that occurs (one number,
+    from one pass over the lines) says how many running values are needed.
     """
     lines = docs.select(F.col(id_col),
                         F.posexplode_outer(F.split(_c(text_col), "\n")).alias("pos", "line")) \
@@ -119,24 +120,26 @@ def markdown_sections(docs: DataFrame, id_col: str = "doc_id",
                                              F.trim(F.regexp_extract("line", HEADING, 2))))
     lines = lines.withColumn("section_index",
                              F.sum(F.col("level").isNotNull().cast("int")).over(w_upto).cast("int"))
+    deepest = (docs.select(F.explode(F.split(_c(text_col), "\n")).alias("line"))
+               .agg(F.max(F.length(F.regexp_extract("line", HEADING, 1)))).first()[0] or 0)
     # For each level j: position and title of the last heading of level j
     # strictly before this line.
-    # one select, so all 12 running values come from a single Window pass
-    # (a withColumn each would plan 12 Window operators)
+    # one select, so all running values come from a single Window pass
+    # (a withColumn each would plan a Window operator each)
     lasts = []
-    for j in range(1, MAX_LEVEL + 1):
+    for j in range(1, deepest + 1):
         is_j = F.col("level") == j
         lasts += [F.last(F.when(is_j, F.col("pos")), True).over(w_before).alias(f"_p{j}"),
                   F.last(F.when(is_j, F.col("title")), True).over(w_before).alias(f"_t{j}")]
     lines = lines.select("*", *lasts)
     parts = []
-    for j in range(1, MAX_LEVEL + 1):
+    for j in range(1, deepest + 1):
         shallower = [F.coalesce(F.col(f"_p{i}"), F.lit(-1)) for i in range(1, j)]
         newest_shallower = F.greatest(*shallower, F.lit(-1)) if shallower else F.lit(-1)
         valid = ((F.col("level") > j) & F.col(f"_p{j}").isNotNull()
                  & (F.col(f"_p{j}") > newest_shallower))
         parts.append(F.when(valid, F.col(f"_t{j}")))
-    ancestors = F.filter(F.array(*parts), lambda x: x.isNotNull())
+    ancestors = F.filter(F.array(*parts).cast("array<string>"), lambda x: x.isNotNull())
     path = F.when(F.size(ancestors) == 0, F.lit("/")).otherwise(
         F.concat(F.lit("/"), F.array_join(ancestors, "/"), F.lit("/")))
     lines = lines.withColumn("_path", F.when(F.col("level").isNotNull(), path))
@@ -148,35 +151,22 @@ def markdown_sections(docs: DataFrame, id_col: str = "doc_id",
 
 
 # T4 -------------------------------------------------------------------------
-SCAN_PASSES = 24  # doubling passes: exact for arrays of up to 2**24 elements
-FOLD_MAX = 512    # arrays up to this size use the append fold (faster when short)
-
-
-def prefix_sums(arr: Column, passes: int = SCAN_PASSES) -> Column:
+def prefix_sums(arr: Column) -> Column:
     """Inclusive prefix sums of a numeric array inside the row.
 
-    Hillis-Steele scan: pass k adds the element 2**k places back. Each pass
-    is one ``transform`` with its input bound once (``let``), so the cost
-    is O(n * passes) instead of the O(n^2) of appending in a fold.
+    Hillis-Steele scan: step k adds the element 2**k places back, for as many
+    steps as the array needs, whatever its length: O(n log n), where
+    appending in a fold would be O(n^2).
     """
-    def shift_add(step: int):
-        # (PySpark reads the lambda's arity, so no default-argument capture)
-        # arrays no longer than ``step`` are already complete: pass through
-        return lambda a: F.when(F.size(a) <= step, a).otherwise(F.transform(
-            a, lambda x, i: x + F.when(i >= step, F.element_at(a, i - step + 1)).otherwise(F.lit(0))))
+    def step(a, k):
+        return F.transform(a, lambda x, i: x + F.when(
+            i >= F.call_function("shiftleft", F.lit(1), k),
+            F.coalesce(F.get(a, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))).otherwise(F.lit(0)))
 
     def scan(a):
-        out = a
-        for k in range(passes):
-            out = let(out, shift_add(1 << k))
-        return out
-
-    def fold(a):  # appends in a fold: cheaper for short arrays
-        zero = F.lit(0).cast("long")
-        acc = F.aggregate(a, F.array(zero), lambda p, x: F.concat(p, F.array(F.element_at(p, -1) + x)))
-        return F.slice(acc, 2, F.size(a))
-
-    return let(arr, lambda a: F.when(F.size(a) <= FOLD_MAX, fold(a)).otherwise(scan(a)))
+        steps = F.ceil(F.log2(F.greatest(F.size(a), F.lit(1)))).cast("int")
+        return F.aggregate(F.sequence(F.lit(0), steps), a, step)
+    return let(F.transform(arr, lambda x: F.coalesce(x, F.lit(0)).cast("long")), scan)
 
 
 def sentence_chunks(docs: DataFrame, limit: int = SENTENCE_CHUNK_SIZE,
@@ -197,9 +187,9 @@ def sentence_chunks(docs: DataFrame, limit: int = SENTENCE_CHUNK_SIZE,
                         .alias("paragraph", "ptext")).where(F.col("paragraph").isNotNull())
     sents = paras.withColumn("_s", sentences("ptext"))
     sents = sents.withColumn("_len", F.transform("_s", lambda s: F.size(F.split(s, " "))))
-    # prefix sums P[0..n] (long) by a doubling scan: O(n log n_max) per row
+    # prefix sums P[0..n] (long)
     sents = sents.withColumn("_P", F.concat(F.array(F.lit(0).cast("long")),
-                                            prefix_sums(F.transform("_len", lambda x: x.cast("long")))))
+                                            prefix_sums(F.col("_len"))))
     P = F.col("_P")
 
     def p(i):  # P[i], 0-based

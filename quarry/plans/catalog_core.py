@@ -198,11 +198,20 @@ def q_url_parts(spark, sf):
 
 
 @register("mask_secret", ops=("P14",), sql=f"""
-WITH {DSN_SQL}
-SELECT page_id, regexp_replace(dsn, '(://[^:/@]+):[^@]*@', '\\1:******@') AS masked FROM _d""")
+WITH {DSN_SQL},
+_v AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN dsn WHEN 1 THEN replace(dsn, ':pw', ':p@ss')
+              WHEN 2 THEN replace(dsn, '://user', '://') WHEN 3 THEN 'http://h:80/x@y' ELSE 'http://u@h:80/a:b@c' END AS u FROM _d),
+_a AS (SELECT *, strpos(u, '://') + 3 AS s, split_part(split_part(split_part(substr(u, strpos(u, '://') + 3), '/', 1), '?', 1), '#', 1) AS auth FROM _v),
+_i AS (SELECT *, length(auth) - strpos(reverse(auth), '@') AS n, strpos(auth, ':') AS c, strpos(auth, '@') > 0 AS has FROM _a)
+SELECT page_id, CASE WHEN has AND c > 0 AND c <= n
+  THEN substr(u, 1, s - 1) || substr(auth, 1, c) || '******' || substr(u, s + n) ELSE u END AS masked FROM _i""")
 def q_mask_secret(spark, sf):
-    d = _dsn(Tables(spark, sf).pages)
-    return d.select("page_id", X.mask_password("dsn").alias("masked"))
+    """Passwords with '@', empty users, ports and paths that look like one."""
+    m = F.col("page_id") % 5
+    u = (F.when(m == 0, F.col("dsn")).when(m == 1, F.replace("dsn", F.lit(":pw"), F.lit(":p@ss")))
+         .when(m == 2, F.replace("dsn", F.lit("://user"), F.lit("://"))).when(m == 3, F.lit("http://h:80/x@y"))
+         .otherwise(F.lit("http://u@h:80/a:b@c")))
+    return _dsn(Tables(spark, sf).pages).select("page_id", X.mask_password(u).alias("masked"))
 
 
 # A1-A3 ----------------------------------------------------------------------
@@ -275,12 +284,13 @@ def q_missing_ids(spark, sf):
 
 
 @register("vector_text_join", ops=("R11", "K4"), sql="""
-SELECT e.vec_id, e.label, CAST(len(e.embedding) AS INTEGER) AS dims, substring(d.text, 1, 100) AS preview
+SELECT e.vec_id, e.label, CAST(len(e.embedding) AS INTEGER) AS dims, d.text, CAST(list_sum(list_transform(e.embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT))) AS BIGINT) AS micro_sum
 FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id""")
 def q_vector_text_join(spark, sf):
     t = Tables(spark, sf)
-    d = t.documents.select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 100).alias("preview"))
-    return (t.embeddings.select("vec_id", "label", F.size("embedding").alias("dims"))
+    d = t.documents.select(F.col("doc_id").alias("vec_id"), "text")
+    micro = F.aggregate("embedding", F.lit(0).cast("long"), lambda a, x: a + F.round(x.cast("double") * 1000000).cast("long"))
+    return (t.embeddings.select("vec_id", "label", F.size("embedding").alias("dims"), micro.alias("micro_sum"))
             .join(d, "vec_id"))
 
 
@@ -297,9 +307,11 @@ def q_union_sources(spark, sf):
 
 
 @register("dedup_keep_first", ops=("R13",), sql="""
-SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)""")
+WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 13 <> 5 THEN text END AS text FROM documents)
+SELECT doc_id, source FROM d WHERE text IS NULL OR doc_id IN (SELECT min(doc_id) FROM d GROUP BY text)""")
 def q_dedup_keep_first(spark, sf):
-    d = Tables(spark, sf).documents.select("doc_id", "source", "text")
+    """Every 13th text is unknown: those rows all stay."""
+    d = Tables(spark, sf).documents.select("doc_id", "source", F.expr("case when doc_id % 13 <> 5 then text end as text"))
     return files.dedup_keep_first(d, "text", "doc_id").select("doc_id", "source")
 
 
@@ -309,6 +321,18 @@ def q_dup_counts(spark, sf):
     return files.duplicate_counts(Tables(spark, sf).documents, "text", "doc_id")
 
 
+@register("dup_names", ops=("R13", "A7"), sql="""
+SELECT source || '.md' AS name, min(doc_id) AS first_id, count(*) - 1 AS n_removed
+FROM documents WHERE doc_id % 3 <> 0 GROUP BY source HAVING count(*) > 1""")
+def q_dup_names(spark, sf):
+    """Files of one name, however their contents differ."""
+    d = (Tables(spark, sf).documents.where("doc_id % 3 <> 0")
+         .select("doc_id", F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit("/"), F.col("source"), F.lit(".md")).alias("path")))
+    named = d.select("doc_id", X.basename("path").alias("name"))
+    return (files.duplicate_counts(named, "name", "doc_id")
+            .join(named.withColumnRenamed("doc_id", "first_id"), "first_id").select("name", "first_id", "n_removed"))
+
+
 @register("dup_totals", ops=("A7",), sql="""
 WITH c AS (SELECT count(*) - 1 AS n_removed FROM documents GROUP BY text HAVING count(*) > 1)
 SELECT CAST(coalesce(sum(n_removed), 0) AS BIGINT) AS total_removed, count(*) AS keys_with_duplicates FROM c""")

@@ -14,10 +14,10 @@ DEFAULT_SALTS = 16
 def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
-    Counts at most ``max_rows + 1`` rows (a bounded, distributed job), so
-    the check itself never scans more than it has to.
+    A plain count: every task sends one number. (A ``limit`` before it
+    would send that many rows of every partition to one task.)
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    return df.count() <= max_rows
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS):

@@ -62,7 +62,10 @@ def ship_package(spark: SparkSession) -> None:
     ``addArtifacts(pyfile=True)``); a no-op when done before.
     """
     import zipfile
-    key = id(spark)
+    try:
+        key = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect
+        key = id(spark)
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -84,8 +87,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local runs, tests) a scratch folder is
-    created and registered.
+    as is; a cluster without it is an error. Only on one machine (local
+    runs, tests) a scratch folder is created when it is unset.
     """
     try:
         sc = spark.sparkContext
@@ -95,13 +98,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured:
             return configured
-        path = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        return path
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = configured or tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

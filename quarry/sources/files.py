@@ -141,10 +141,16 @@ def write_nested_json(df: DataFrame, path: str) -> None:
 # R13 / A7 -------------------------------------------------------------------
 def content_key(c) -> Column:
     """Fixed-size key of a (possibly large) value, so grouping by content
-    never shuffles whole texts."""
+    never shuffles whole texts; NULL for NULL."""
     return F.sha2(_c(c).cast("string"), 256)
 
 
+def row_key(c, order_col: str) -> Column:
+    """``content_key``, or a key of the row's own where there is no content:
+    unknown contents are not copies of each other."""
+    return F.coalesce(content_key(c), F.concat(F.lit("row "), F.col(order_col).cast("string")))
+
+
 def dedup_keep_first(df: DataFrame, key, order_col: str) -> DataFrame:
     """Keep the first row (lowest ``order_col``) of each key.
 
@@ -152,7 +158,7 @@ def dedup_keep_first(df: DataFrame, key, order_col: str) -> DataFrame:
     rows is reduced map side), and the rows are then picked by a join on
     the unique ``order_col``. ``dropDuplicates`` does not promise which
     row stays; this does."""
-    firsts = (df.select(content_key(key).alias("_k"), F.col(order_col))
+    firsts = (df.select(row_key(key, order_col).alias("_k"), F.col(order_col))
               .groupBy("_k").agg(F.min(order_col).alias(order_col)))
     return df.join(firsts.select(order_col), order_col, "left_semi")
 
@@ -160,7 +166,7 @@ def dedup_keep_first(df: DataFrame, key, order_col: str) -> DataFrame:
 def duplicate_counts(df: DataFrame, key, order_col: str) -> DataFrame:
     """Per duplicated key: the first row's id and how many later rows
     repeat it."""
-    return (df.select(content_key(key).alias("_k"), F.col(order_col))
+    return (df.select(row_key(key, order_col).alias("_k"), F.col(order_col))
             .groupBy("_k").agg(F.min(order_col).alias("first_id"),
                                (F.count(F.lit(1)) - 1).alias("n_removed"))
             .where(F.col("n_removed") > 0).drop("_k"))

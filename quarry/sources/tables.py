@@ -11,7 +11,7 @@ TABLES = (
 )
 
 
-# Row keys of the test tables (unique per row).
+# Keys by which a local run spreads the test tables.
 KEYS = {
     "documents": "doc_id", "pages": "page_id", "embeddings": "vec_id",
     "benchmark": "item_id", "conversations": "conv_id", "labels": "doc_id",
@@ -24,8 +24,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
     filters reach the scan because nothing is materialised here).
 
     With ``spread``, a table whose files give fewer scan partitions than
-    the cluster has cores is hash-partitioned by its key; on a cluster
-    reading many files this is a no-op, locally it keeps all cores busy.
+    one machine has cores is hash-partitioned by its key; on a cluster this
+    never happens.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     key = KEYS.get(name)
@@ -35,13 +35,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
 
 
 def ensure_parallelism(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-partition by ``key`` when the scan has fewer partitions than
-    cores. Deterministic (hash, not round robin), so a lost task is
+    """On one machine, hash-partition by ``key`` when the scan has fewer
+    partitions than cores (a single small file, say); never on a cluster. Deterministic (hash, not round robin), so a lost task is
     recomputed with the same rows, and later joins or aggregations keyed
     by ``key`` reuse the partitioning. No partition count is fixed: AQE
     coalesces the shuffle from its measured size, so a small lookup table
     on a large cluster does not become thousands of empty partitions."""
     try:
+        if not df.sparkSession.sparkContext.master.startswith("local["):
+            return df                # a cluster reads its tables as they are split
         want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): keep the scan as is

@@ -1,17 +1,19 @@
 """Incremental ingest with Structured Streaming (W1, W2).
 
 New files under a folder are read as whole documents, de-duplicated by
-content, chunked and enriched (stateless), and embedded inside
+path (or content), chunked and enriched (stateless), and embedded inside
 ``foreachBatch`` (the embedding aggregates, which a streaming append query
-cannot do before a sink). Each micro-batch overwrites only its own
-``batch_id`` partition, so a retried batch replaces its output instead of
-appending it twice; together with the checkpoint this is exactly-once.
+cannot do before a sink). A micro-batch writes only its own partition, named
+by the query's id (which lives in its checkpoint) and the batch number, so
+a retried batch replaces its output; documents that an earlier query has
+already written to the table are left out, so a fresh checkpoint adds nothing twice.
 """
 
 from __future__ import annotations
 
-import os
+import threading
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,6 @@ from quarry.functions.exprs import basename, decode_file_name
 from quarry.operators.embed import EMBED_DIM, embed_input, hash_embed_sparse, sparse_to_dense
 from quarry.operators.enrich import extractive_context, lead_sentence
 from quarry.operators.chunk import page_estimate, token_chunks
-from quarry.session import ensure_checkpoint_dir
 from quarry.sources.files import content_key
 
 
@@ -36,9 +37,9 @@ def document_stream(spark: SparkSession, path: str, max_files_per_trigger: int |
                      F.col("_metadata.file_modification_time").alias("mtime"))
 
 
-def dedupe_documents(stream: DataFrame, key_col: str = "text",
+def dedupe_documents(stream: DataFrame, key_col: str = "file_path",
                      watermark: str | None = None, time_col: str = "mtime") -> DataFrame:
-    """Never ingest the same content twice (W2).
+    """Never ingest the same path twice (W2); ``key_col="text"`` for contents.
 
     Without a watermark the seen keys are kept forever (a fixed-size hash
     per document, in the state store); with one, keys expire after the
@@ -60,34 +61,50 @@ def enrich_stream(docs: DataFrame, size: int = 800, overlap: int = 200) -> DataF
 
 
 def embed_batch(batch: DataFrame, dim: int = EMBED_DIM, embed_mode: str = "context+text") -> DataFrame:
-    """Vector rows of one micro-batch (chunk columns + embedding)."""
+    """Vector rows of one micro-batch (chunk columns + embedding); a text
+    without terms has the zero vector."""
     src = batch.select("chunk_id", embed_input("text", F.col("context"), embed_mode).alias("text"))
-    dense = sparse_to_dense(hash_embed_sparse(src, "chunk_id", dim=dim), "chunk_id", dim)
-    return batch.join(dense, "chunk_id", "left")
+    dense = sparse_to_dense(hash_embed_sparse(src, "chunk_id", dim=dim), "chunk_id", dim, ids=batch)
+    return batch.join(dense, "chunk_id")
 
 
 def start_ingest(spark: SparkSession, source_dir: str, table_path: str,
                  checkpoint: str | None = None, dedupe: bool = True,
                  watermark: str | None = None, max_files_per_trigger: int | None = None,
-                 available_now: bool = True, dim: int = EMBED_DIM):
+                 available_now: bool = True, dim: int = EMBED_DIM, key_col: str = "file_path"):
     """Start the incremental ingest; returns the StreamingQuery.
 
-    The checkpoint goes to the shared checkpoint folder of the cluster
-    unless one is given.
+    The checkpoint is kept inside the table's own folder (whose readers skip
+    names that begin with ``_``) unless one is given, so it is as durable as
+    the table and never shared with another one.
     """
-    if checkpoint is None:
-        checkpoint = os.path.join(ensure_checkpoint_dir(spark), "ingest-" + os.path.basename(
-            table_path.rstrip("/")))
+    checkpoint = checkpoint or table_path.rstrip("/") + "/_ingest"
     docs = document_stream(spark, source_dir, max_files_per_trigger)
     if dedupe:
-        docs = dedupe_documents(docs, watermark=watermark)
+        docs = dedupe_documents(docs, key_col, watermark=watermark)
     chunks = enrich_stream(docs)
+    run, known = [], threading.Event()
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        (embed_batch(batch, dim).withColumn("batch_id", F.lit(epoch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(table_path))
+        known.wait()
+        session = batch.sparkSession
+        batch = batch.persist()          # read and chunked once, used by the embedding and the rows
+        try:
+            rows = embed_batch(batch, dim)
+            try:
+                before = session.read.parquet(table_path).where(F.col("run_id") != run[0])
+                rows = rows.join(before.select("doc_id").distinct(), "doc_id", "left_anti")
+            except AnalysisException:    # nothing has been written yet
+                pass
+            (rows.withColumn("run_id", F.lit(run[0])).withColumn("batch_id", F.lit(epoch_id))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("run_id", "batch_id").parquet(table_path))
+        finally:
+            batch.unpersist()
 
     writer = chunks.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
+    query = writer.start()
+    run.append(str(query.id))
+    known.set()
+    return query

@@ -72,6 +72,6 @@ def test_sentences_lines_pages_terms(spark, docs):
     for r in rows:
         t = docs[r.doc_id]
         assert list(r.s) == py_sentences(t)
-        assert r.two == "\n".join(t.strip(" ").split("\n")[:2])
+        assert r.two == "\n".join(t.strip(" \t\n\v\f\r").split("\n")[:2])
         assert list(r.t) == [w for w in re.findall(r"[^\W\d_]+", t.lower()) if w not in stops]
         assert r.page == max(1, (r.doc_id * 3 * 800) // 2000 + 1)
