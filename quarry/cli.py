@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,18 +23,15 @@ def _session(master: str | None) -> SparkSession:
 
 
 def ingest(spark: SparkSession, input_dir: str, index_dir: str, dedupe: bool = False) -> dict:
-    """Whole files -> chunk table + text index + contextual vector table
-    under ``index_dir``. Every file is a document of its own; ``dedupe`` keeps
+    """Whole files (Markdown) -> sections -> chunks with context and page ->
+    one text index and one vector table over context and text, under ``index_dir``. Every file is a document of its own; ``dedupe`` keeps
     the first of files with one content."""
     from quarry.plans import index_store
-    from quarry.plans.ingest import vector_rows
     from quarry.sources.files import dedup_keep_first, read_documents
     docs = read_documents(spark, input_dir).withColumn("source", F.col("file_name"))
     if dedupe:
         docs = dedup_keep_first(docs, "text", "doc_id")
-    index_store.build(docs, index_dir, dim=768)
-    vectors = vector_rows(docs.select("doc_id", "text"))
-    vectors.write.mode("overwrite").parquet(os.path.join(index_dir, "contextual_vectors"))
+    index_store.build(docs, index_dir, dim=768, contextual=True)
     chunks, _, stats = index_store.open_index(spark, index_dir)
     row = stats.first()            # the text index is over chunks
     return {"documents": chunks.select("doc_id").distinct().count(),
@@ -61,21 +57,24 @@ def ask(spark: SparkSession, index_dir: str, questions: DataFrame, k: int = 2,
 
 
 def evaluate(spark: SparkSession, index_dir: str, golden_path: str, k: int = 2) -> DataFrame:
-    """metric, value, n over the golden set (questions answered from the
-    index; the retrieved contexts are the evidence)."""
+    """metric, value, n of the four metrics over the golden set: contexts
+    are retrieved from the index, answers are the golden file's ``answer``
+    column (rows without one do not count for faithfulness and relevancy; a
+    retrieved context is never scored as an answer against itself)."""
     from quarry.operators import evaluate as V
     from quarry.plans import index_store
     from quarry.plans.evaluation import _long
     from quarry.sources.files import read_golden
-    g = (read_golden(spark, golden_path)
-         .withColumn("query_id", F.monotonically_increasing_id()))
+    from quarry.session import stage
+    g = stage(read_golden(spark, golden_path).withColumn("query_id", F.monotonically_increasing_id()), "golden")
     h = index_store.hits(spark, index_dir, g.select("query_id", F.col("question").alias("text")), k=k)
     rec = V.eval_records(g.select("query_id", "question", "ground_truth"), h)
-    m = rec.select(
+    m = rec.drop("answer").join(g.select("query_id", "answer"), "query_id").select(
         V.faithfulness("answer", F.array_join("contexts", " ")).alias("faithfulness"),
         V.context_recall("ground_truth", F.array_join("contexts", " ")).alias("context_recall"),
         V.context_precision("ground_truth", F.col("contexts")).alias("context_precision"))
-    return _long(m, ["faithfulness", "context_recall", "context_precision"])
+    rel = V.answer_relevancy(g.where("answer is not null"), ["query_id"])
+    return _long(m, ["faithfulness", "context_recall", "context_precision"]).unionByName(_long(rel, ["answer_relevancy"]))
 
 
 def main(argv: list[str] | None = None) -> int:

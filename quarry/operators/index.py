@@ -1,9 +1,9 @@
 """Full-text index (postings, document frequencies) and index audits.
 
 The postings table is the Spark form of a text-search index: one row per
-(document, term) with the term frequency and the document length. Build it
-once and write it (``write_postings``) partitioned by a term hash, so BM25
-queries read only the partitions of their terms.
+(document, term) with the term frequency and the document length. Written
+once (``write_text_index``) partitioned by a term hash, BM25 queries read
+only the partitions of their terms.
 """
 
 from __future__ import annotations
@@ -71,31 +71,43 @@ STATS_BUCKET = -1
 
 def write_text_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                      buckets: int = TERM_BUCKETS) -> None:
-    """Postings and corpus statistics in one pass over the corpus.
+    """``<path>/postings``, partitioned by term bucket and sorted by term, and
+    ``<path>/stats``, one row, in one pass over the corpus.
 
     Every document adds one extra row with a NULL term that carries its
-    length; those rows go to partition ``term_bucket=-1``, so the
-    statistics are read from that partition alone and documents without
-    any term still count."""
+    length (bucket -1), so documents without any term count; the statistics
+    are summed from those rows once, when they are written. The rebalance
+    sizes files from the data: a large bucket (a hot term, the length rows)
+    is written by as many tasks as it needs."""
+    spark = docs.sparkSession
     dt = doc_terms(docs, id_col, text_col)
     rows = (dt.select("doc_id", "doc_len",
                       F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term"))
             .groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf")))
     (rows.withColumn("term_bucket", F.when(F.col("term").isNull(), F.lit(STATS_BUCKET))
                      .otherwise(term_bucket(F.col("term"), buckets)))
-     .repartition("term_bucket")
-     .write.mode("overwrite").partitionBy("term_bucket").parquet(path))
+     .hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term")
+     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings"))
+    lengths = spark.read.schema("doc_len int, term_bucket int") \
+        .parquet(f"{path}/postings").where(F.col("term_bucket") == STATS_BUCKET)
+    (lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long").alias("total_len"),
+                 F.lit(buckets).alias("buckets"))
+     .write.mode("overwrite").parquet(f"{path}/stats"))
 
 
 def read_text_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, stats) of a written index; partition filters keep the
-    two apart (each reads only its own files)."""
-    df = spark.read.parquet(path)
-    posts = df.where(F.col("term_bucket") != STATS_BUCKET).drop("term_bucket")
-    stats = df.where(F.col("term_bucket") == STATS_BUCKET).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long")
-        .alias("total_len"))
-    return posts, stats
+    """(postings with their ``term_bucket``, statistics) of a written index."""
+    posts = spark.read.parquet(f"{path}/postings").where(F.col("term_bucket") != STATS_BUCKET)
+    return posts, spark.read.parquet(f"{path}/stats")
+
+
+def of_terms(posts: DataFrame, stats: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The postings of a written index in the buckets of the terms
+    ``wanted``: a partition filter on at most as many values as the index has
+    buckets, so no other file is read."""
+    n = stats.first()["buckets"]
+    used = [r[0] for r in wanted.select(term_bucket(F.col("term"), n)).distinct().collect()]
+    return posts.where(F.col("term_bucket").isin(used) if used else F.lit(False)).drop("term_bucket")
 
 
 # A1-A3, P9 ------------------------------------------------------------------

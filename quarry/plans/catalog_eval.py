@@ -27,13 +27,13 @@ from quarry.plans.evaluation import golden, records  # noqa: E402
 
 @register("eval_records", ops=("V1", "V2", "S3"), sql=f"""
 WITH {RECORDS_SQL}
-SELECT query_id, substring(question, 1, 80) AS question_80,
+SELECT query_id, question, ground_truth,
        coalesce(contexts[1], 'Error') AS answer, CAST(len(contexts) AS INTEGER) AS n_contexts,
        array_to_string(contexts, chr(10) || '---' || chr(10)) AS contexts_joined
 FROM _rec""")
 def q_eval_records(spark, sf):
     r = records(Tables(spark, sf))
-    return r.select("query_id", F.substring("question", 1, 80).alias("question_80"), "answer",
+    return r.select("query_id", "question", "ground_truth", "answer",
                     F.size("contexts").alias("n_contexts"),
                     F.array_join("contexts", "\n---\n").alias("contexts_joined"))
 

@@ -293,6 +293,48 @@ def q_hash_embed(spark, sf):
     return hash_embed_sparse(Tables(spark, sf).benchmark, "item_id")
 
 
+def _contextual_answer_sql() -> str:
+    from quarry.plans.sqlparts import bm25_cte
+    return f"""
+WITH {_sections_cte(_markdown_docs_sql())},
+_sd AS (SELECT CAST(doc_id AS VARCHAR) || '-' || CAST(section_index AS VARCHAR) AS doc_id,
+               doc_id AS src_doc, header_path, text, {_lead_sql('text')} AS lead FROM sections),
+{token_chunks_cte(src='_sd', extra='src_doc, header_path, lead')},
+_nc AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id),
+_cx AS (SELECT c.chunk_id, c.text, c.src_doc, greatest(1, (c.chunk_index * 800) // 2000 + 1) AS page_number,
+               'Part of ' || CAST(c.src_doc AS VARCHAR) || ' ' || c.header_path || ' (chunk '
+                 || CAST(c.chunk_index + 1 AS VARCHAR) || ' of ' || CAST(_nc.n AS VARCHAR) || '). '
+                 || coalesce(c.lead, '') AS context
+        FROM chunks c JOIN _nc ON _nc.doc_id = c.doc_id),
+_in AS (SELECT chunk_id, context || chr(10) || text AS text FROM _cx),
+{bm25_cte('_in', 'chunk_id', 'benchmark', 'item_id')},
+fmt AS (SELECT h.query_id, h.rank, '**Document Chunk ' || CAST(h.rank AS VARCHAR) || '**' || chr(10)
+             || 'Source: ' || d.source || ' (Page ' || CAST(c.page_number AS VARCHAR) || ')'
+             || chr(10) || 'Context: ' || c.context || chr(10) || chr(10) || 'Content:' || chr(10) || c.text AS formatted
+      FROM hits h JOIN _cx c ON c.chunk_id = h.doc_id JOIN documents d ON d.doc_id = c.src_doc)
+SELECT q.item_id AS query_id,
+       CASE WHEN count(fmt.rank) = 0 THEN 'No relevant documents found for this query.'
+            ELSE chr(10) || chr(10) || repeat('=', 50) || string_agg(fmt.formatted, chr(10) || chr(10) ORDER BY fmt.rank) END AS context
+FROM benchmark q LEFT JOIN fmt ON fmt.query_id = q.item_id GROUP BY q.item_id"""
+
+
+def contextual_answer(spark, sf):
+    """Sections, token chunks, context and page, one index over context and
+    text, and the answers with source, page and context."""
+    import uuid
+    from quarry.plans import index_store
+    from quarry.session import ensure_checkpoint_dir
+    t = Tables(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/contextual-{uuid.uuid4().hex}"
+    index_store.build(markdown_docs(t.documents), path, contextual=True)
+    return index_store.answer(spark, path, t.benchmark.withColumnRenamed("item_id", "query_id"))
+
+
+@register("contextual_answer", ops=("E1", "E5", "R8", "P7"), sql=_contextual_answer_sql())
+def q_contextual_answer(spark, sf):
+    return contextual_answer(spark, sf)
+
+
 @register("ingest_chain", ops=("T5", "E4"), sql=f"""
 WITH {_sections_cte(_markdown_docs_sql())},
 _sd AS (SELECT CAST(doc_id AS VARCHAR) || '-' || CAST(section_index AS VARCHAR) AS doc_id,

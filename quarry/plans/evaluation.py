@@ -27,9 +27,8 @@ def records(t) -> DataFrame:
 def pair_metrics(t) -> DataFrame:
     """conv_id, turn, faithfulness, answer_relevancy for each reply pair."""
     p = chat.reply_pairs(t.conversations)
-    rel = V.answer_relevancy(p.withColumn("faithfulness", V.faithfulness("answer", "question")),
-                             ["conv_id", "turn", "faithfulness"])
-    return rel
+    faith = p.select("conv_id", "turn", V.faithfulness("answer", "question").alias("faithfulness"))
+    return V.answer_relevancy(p, ["conv_id", "turn"]).join(faith, ["conv_id", "turn"])
 
 
 def record_metrics(r: DataFrame) -> DataFrame:

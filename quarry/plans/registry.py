@@ -51,6 +51,6 @@ class Tables:
 
 def load_all() -> dict[str, Check]:
     # importing the catalog modules fills CHECKS
-    from quarry.plans import (catalog_chat, catalog_core, catalog_eval,  # noqa: F401
+    from quarry.plans import (catalog_chat, catalog_core, catalog_eval, catalog_io,  # noqa: F401
                               catalog_retrieval, catalog_text)
     return CHECKS

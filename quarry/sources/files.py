@@ -49,7 +49,8 @@ def list_files(spark: SparkSession, path: str, suffixes=(".pdf", ".docx"),
 
 # S3 -------------------------------------------------------------------------
 GOLDEN_SCHEMA = T.StructType([T.StructField("question", T.StringType()),
-                              T.StructField("ground_truth", T.StringType())])
+                              T.StructField("ground_truth", T.StringType()),
+                              T.StructField("answer", T.StringType())])   # the answer to score, where there is one
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:

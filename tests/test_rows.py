@@ -462,11 +462,13 @@ def test_cli_jobs(spark, tmp_path):
     assert out[5].startswith("Error: No valid") and out[6].startswith("Error: Tool received")
     assert all(out[i].startswith("\n\n" + "=" * 50) or out[i].startswith("No relevant") for i in range(5))
     golden = tmp_path / "golden.jsonl"
-    golden.write_text("\n".join(json.dumps({"question": b["text"], "ground_truth": b["text"]}) for b in bench))
+    golden.write_text("\n".join(json.dumps({"question": b["text"], "ground_truth": b["text"]} | ({"answer": b["text"]} if i else {}))
+                                for i, b in enumerate(bench)))
     res = {r.metric: (r.value, r.n) for r in cli.evaluate(spark, idx, str(golden)).collect()}
-    assert set(res) == {"faithfulness", "context_recall", "context_precision"}
+    assert set(res) == {"faithfulness", "answer_relevancy", "context_recall", "context_precision"}
+    assert res["answer_relevancy"] == (1.0, 4) and res["faithfulness"][1] == 4 and res["context_recall"][1] == 5
     assert all(0.0 <= v <= 1.0 for v, n in res.values() if v is not None)
-    assert spark.read.parquet(os.path.join(idx, "contextual_vectors")).where(F.size("embedding") != 768).count() == 0
+    assert spark.read.parquet(os.path.join(idx, "vectors")).where(F.size("embedding") != 768).count() == 0
     assert spark.read.parquet(os.path.join(idx, "vectors")).count() == info["chunks"]
     # hybrid answers hold up to 2k hits; sparse-only ones at most k
     hy = {r.query_id: r.context.count("**Document Chunk ") for r in
