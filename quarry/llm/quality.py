@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.textbytes import U, chunks, mix, text_buffer, words
 
-LABELLED, POOL = 6000, 4000     # documents that the fit may use
+LABELLED, POOL = 6000, 2000     # documents that the fit may use
 ROUNDS, HANDED, CERTAIN = 2, 600, 0.97
-STEMS = (4, 5, 6)               # first bytes of longer words
+STEMS = (4, 5)                  # first bytes of longer words
 LEAST_DOCS = 4                  # a word of the vocabulary occurs in as many sample documents
 _BYTE = np.arange(256)
 _MARKS = ((_BYTE > 32) & (_BYTE < 48)) | ((_BYTE > 57) & (_BYTE < 65)) | ((_BYTE > 90) & (_BYTE < 97)) | ((_BYTE > 122) & (_BYTE < 127))
@@ -136,45 +136,63 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(sample, rows: np.ndarray, y: np.ndarray, l1: float = 4e-4, l2: float = 1e-4, steps: int = 150) -> Model:
-    """Logistic regression by accelerated proximal gradient steps; the word
-    weights are L1-penalised, so words without evidence weigh nothing."""
-    hashes, offsets, stats = sample
-    count = np.diff(offsets)[rows]
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offsets[:-1][rows], count)
-    vocab, col, df = np.unique(hashes[at], return_inverse=True, return_counts=True)
-    keep = df >= LEAST_DOCS
-    new = np.cumsum(keep) - 1
-    doc = np.repeat(np.arange(len(rows)), count)
-    mine = keep[col]
-    doc, col, vocab = doc[mine], new[col[mine]], vocab[keep]
-    mean, scale = stats[rows].mean(axis=0), stats[rows].std(axis=0) + 1e-6
-    x = _standard(stats[rows], mean, scale)
-    f, n = len(vocab), len(rows)
-    theta = np.zeros(f + x.shape[1] + 1)
-    theta[-1] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
+class View:
+    """One view of the sample: words that ``LEAST_DOCS`` of its documents
+    have, as columns, and the statistics."""
+
+    def __init__(self, hashes: np.ndarray, offsets: np.ndarray, stats: np.ndarray):
+        self.n, self.stats = len(stats), stats
+        order = np.argsort(hashes, kind="stable")
+        new = np.ones(len(hashes), dtype=bool)
+        new[1:] = hashes[order][1:] != hashes[order][:-1]
+        start = np.flatnonzero(new)
+        often = np.diff(np.append(start, len(hashes))) >= LEAST_DOCS
+        self.vocab = hashes[order[start[often]]]
+        number = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        col = np.empty(len(hashes), dtype=np.int32)
+        col[order] = np.repeat(number, np.diff(np.append(start, len(hashes))))
+        row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(offsets))
+        self.row, self.col = row[col >= 0].astype(np.intp), col[col >= 0].astype(np.intp)
+
+    def product(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=weights[self.col], minlength=self.n)
+
+    def transposed(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, weights=r[self.row], minlength=len(self.vocab))
+
+
+def fit(view: View, used: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, l1: float = 4e-4, l2: float = 1e-4, steps: int = 150):
+    """(model, logits of the sample, coefficients): logistic regression on
+    the rows ``used`` by accelerated proximal gradient steps; word weights are
+    L1-penalised, so words without evidence weigh nothing."""
+    n, f = used.sum(), len(view.vocab)
+    mean, scale = view.stats[used].mean(axis=0), view.stats[used].std(axis=0) + 1e-6
+    x = _standard(view.stats, mean, scale)
+    share = (y[used].mean() + 1e-3) / (1 - y[used].mean() + 1e-3)
+    theta = np.append(np.zeros(f + x.shape[1]), np.log(share)) if start is None else start.copy()
+    target = np.where(used, y, 0.0)
 
     def forward(t):
-        return np.bincount(doc, weights=t[col], minlength=n) + x @ t[f:-1] + t[-1]
-    # step size from the largest curvature, by power iterations
-    v = np.ones_like(theta)
+        return view.product(t[:f]) + x @ t[f:-1] + t[-1]
+
+    def back(r):
+        return np.concatenate([view.transposed(r), x.T @ r, [r.sum()]]) / n
+    v = np.ones_like(theta)                  # the largest curvature, by power iterations
     for _ in range(8):
-        r = forward(v)
-        g = np.concatenate([np.bincount(col, weights=r[doc], minlength=f), x.T @ r, [r.sum()]]) / n
+        g = back(np.where(used, forward(v), 0.0))
         top = np.linalg.norm(g)
         v = g / max(top, 1e-12)
     step = 1 / (0.25 * max(top, 1e-9) * 1.1 + l2)
     prev, ahead, t = theta.copy(), theta.copy(), 1.0
     for _ in range(steps):
-        r = _sigmoid(forward(ahead)) - y
-        g = np.concatenate([np.bincount(col, weights=r[doc], minlength=f), x.T @ r, [r.sum()]]) / n
+        g = back(np.where(used, _sigmoid(forward(ahead)) - target, 0.0))
         g[f:-1] += l2 * ahead[f:-1]
         theta = ahead - step * g
         theta[:f] = np.sign(theta[:f]) * np.maximum(np.abs(theta[:f]) - step * l1, 0)
         nxt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, prev, t = theta + (t - 1) / nxt * (theta - prev), theta, nxt
-    used = theta[:f] != 0
-    return Model(vocab[used], theta[:f][used], mean, scale, theta[f:-1], float(theta[-1]))
+    some = theta[:f] != 0
+    return Model(view.vocab[some], theta[:f][some], mean, scale, theta[f:-1], float(theta[-1])), forward(theta), theta
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
@@ -205,34 +223,36 @@ class CoTrained:
         return np.concatenate(out) if out else np.zeros((0, 3))
 
 
-def co_train(text, page, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, handed: int = HANDED, certain: float = CERTAIN):
-    """Both models and how many labels were handed over. ``y`` is 1, 0 or
-    nan (no label); ``held`` rows are kept for calibration."""
-    known = np.flatnonzero(~np.isnan(y) & ~held)
+def co_train(text: View, page: View, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, handed: int = HANDED, certain: float = CERTAIN):
+    """The combined model and how many labels were handed over. ``y`` is 1, 0
+    or nan (no label); ``held`` rows are kept for calibration."""
+    known = ~np.isnan(y) & ~held
     pool = np.flatnonzero(np.isnan(y))
-    sets = [dict(zip(known.tolist(), y[known].tolist(), strict=True)) for _ in range(2)]
-    both, passed, models = (text, page), 0, []
     hold = np.flatnonzero(held & ~np.isnan(y))
+    labels = [np.where(known, y, np.nan) for _ in range(2)]
+    passed, starts = 0, [None, None]
     for turn in range(rounds + 1):
-        models, calibration = [], []
-        for view, mine in zip(both, sets, strict=True):
-            m = fit(view, np.array(list(mine)), np.array(list(mine.values())))
-            z = m.logits(*view)
-            calibration.append(logistic(z[hold, None], y[hold]) if len(hold) else np.array([1.0, 0.0]))
-            models.append((m, z))
+        models, logits, calibration = [], [], []
+        for k, view in enumerate((text, page)):
+            used = ~np.isnan(labels[k])
+            m, z, starts[k] = fit(view, used, np.where(used, labels[k], 0.0), starts[k], steps=150 if turn == 0 else 60)
+            models.append(m)
+            logits.append(z)
+            calibration.append(tuple(logistic(z[hold, None], y[hold])) if len(hold) else (1.0, 0.0))
         if turn == rounds or not len(pool):
             break
         for k in range(2):
-            p = _sigmoid(calibration[k][0] * models[k][1][pool] + calibration[k][1])
-            other = sets[1 - k]
+            p = _sigmoid(calibration[k][0] * logits[k][pool] + calibration[k][1])
+            other = labels[1 - k]
             for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = pool[np.argsort(-sure, kind="stable")[:handed]]
-                for i in best[sure[np.argsort(-sure, kind="stable")[:handed]] >= certain].tolist():
-                    passed += i not in other
-                    other.setdefault(i, label)
-    z = np.stack([np.clip(c[0] * m[1] + c[1], -12, 12) for c, m in zip(calibration, models, strict=True)], axis=1)
+                best = np.argsort(-sure, kind="stable")[:handed]
+                best = pool[best[sure[best] >= certain]]
+                best = best[np.isnan(other[best])]
+                other[best] = label
+                passed += len(best)
+    z = np.stack([np.clip(a * v + b, -12, 12) for (a, b), v in zip(calibration, logits, strict=True)], axis=1)
     mixture = logistic(z[hold], y[hold], l2=1.0) if len(hold) else np.array([1.0, 0.0, 0.0])
-    return CoTrained(models[0][0], models[1][0], [tuple(c) for c in calibration], mixture), passed
+    return CoTrained(models[0], models[1], calibration, mixture), passed
 
 
 def _features(batches):
@@ -247,10 +267,10 @@ def _features(batches):
             at += n
 
 
-def _view(frame, words_col: str, stats_col: str):
-    n = [len(x) for x in frame[words_col]]
-    flat = np.concatenate(list(frame[words_col])).astype(np.int64) if sum(n) else np.zeros(0, np.int64)
-    return flat.view(np.uint64), np.concatenate([[0], np.cumsum(n)]).astype(np.int64), np.array(list(frame[stats_col]), dtype=np.float64)
+def _view(rows: pa.Table, words_col: str, stats_col: str) -> View:
+    hashes, stats = (rows.column(c).combine_chunks() for c in (words_col, stats_col))
+    offsets = np.asarray(hashes.offsets).astype(np.int64)
+    return View(hashes.flatten().to_numpy().view(np.uint64), offsets - offsets[0], stats.flatten().to_numpy().reshape(len(rows), -1))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, id_col: str = "doc_id", text_col: str = "text",
@@ -271,10 +291,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, po
                         F.col(source_col).alias("source"), F.col(chars_col).cast("long").alias("n_chars"))
             .join(sample, "id").dropDuplicates(["id"]))
     kind = docs.schema[id_col].dataType.simpleString()
-    frame = (rows.select("id", "y", "text", "lang", "source", "n_chars")
-             .mapInArrow(_features, f"id {kind}, y double, tw array<long>, pw array<long>, ts array<double>, ps array<double>").toPandas())
-    frame = frame.sort_values("id").reset_index(drop=True)
-    y = frame["y"].to_numpy(dtype=np.float64)
+    sampled = (rows.select("id", "y", "text", "lang", "source", "n_chars")
+               .mapInArrow(_features, f"id {kind}, y double, tw array<long>, pw array<long>, ts array<double>, ps array<double>").toArrow())
+    sampled = sampled.sort_by("id")
+    y = sampled.column("y").to_numpy().astype(np.float64)
     if len(np.unique(y[~np.isnan(y)])) < 2:
         return None
     order = np.cumsum(~np.isnan(y))
@@ -282,7 +302,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, po
     train = y[~np.isnan(y) & ~held]
     if len(np.unique(train)) < 2 or len(np.unique(y[held])) < 2:
         held = np.zeros(len(y), dtype=bool)
-    return co_train(_view(frame, "tw", "ts"), _view(frame, "pw", "ps"), y, held, **settings)[0]
+    text, page = _view(sampled, "tw", "ts"), _view(sampled, "pw", "ps")
+    del sampled
+    return co_train(text, page, y, held, **settings)[0]
 
 
 def score_quality(docs: DataFrame, model: CoTrained | None, text_col: str = "text", lang_col: str = "lang",

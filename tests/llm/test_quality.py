@@ -58,7 +58,7 @@ def test_co_training_hands_labels_over():
     stats = [np.stack([y * 3 + rng.normal(size=600), rng.normal(size=600)], axis=1) for _ in range(2)]
     none = np.zeros(0, np.uint64), np.zeros(601, np.int64)
     seen = np.where(np.arange(600) < 120, y, np.nan)
-    model, passed = Q.co_train((*none, stats[0]), (*none, stats[1]), seen, np.arange(600) % 5 == 0)
+    model, passed = Q.co_train(*(Q.View(*none, s) for s in stats), seen, np.arange(600) % 5 == 0)
     assert passed > 50
     z = np.stack([c[0] * m.logits(*none, s) + c[1] for c, m, s in zip(model.calibration, (model.text, model.page), stats, strict=True)], axis=1)
     both = z @ model.mixture[:-1] + model.mixture[-1] > 0
