@@ -12,8 +12,8 @@ D fragments, the two sets agree in all of at least one. The join
    several shingles in hash order is not shared by texts that merely have a
    common passage;
 3. groups documents that share keys into candidate components;
-4. inside a component (cut into blocks, block pairs joined, so no group is
-   ever in one task) takes the shingles that at least two members hold, in
+4. inside a component (cut into bins of sizes that can be partners and
+   these into blocks, block pairs joined, so no group is ever in one task) takes the shingles that at least two members hold, in
    global order, counts the partial overlaps of each fragment of it for all
    pairs of the block separately, sums them per pair and applies the exact
    threshold.
@@ -56,6 +56,15 @@ def class_tops(limit: int) -> np.ndarray:
 _TOPS = class_tops(1 << 40)
 
 
+def size_bins(p: int, q: int) -> np.ndarray:
+    """First sizes of bins such that a set's partners of at least its own
+    size lie in its bin or the next one."""
+    first = [1]
+    while first[-1] <= 1 << 40:
+        first.append(first[-1] * q // p + 1)
+    return np.array(first, dtype=np.int64)
+
+
 def fragment_keys(h: np.ndarray, so: np.ndarray, p: int, q: int):
     """(row, key) of the fragments of flat sorted sets ``h`` / ``so``."""
     size = np.diff(so)
@@ -93,7 +102,9 @@ def fragment_keys(h: np.ndarray, so: np.ndarray, p: int, q: int):
 
 
 def _signatures(k: int, p: int, q: int):
-    """Per document: set size, 128-bit set identity, fragment keys."""
+    """Per document: set size and its bin, 128-bit set identity, fragment keys."""
+    bins = size_bins(p, q)
+
     def run(batches):
         for b in batches:
             buf, off = text_buffer(b.column("text"))
@@ -107,9 +118,9 @@ def _signatures(k: int, p: int, q: int):
                 key = key[order].view(np.int64)
                 ko = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(i, j - i), b.column("th").slice(i, j - i), pa.array(size), pa.array(a), pa.array(z),
+                    [b.column("id").slice(i, j - i), b.column("th").slice(i, j - i), pa.array(size), pa.array(np.searchsorted(bins, size, side="right")), pa.array(a), pa.array(z),
                      pa.ListArray.from_arrays(pa.array(ko, pa.int32()), pa.array(key))],
-                    ["id", "th", "n", "a", "z", "keys"])
+                    ["id", "th", "n", "bin", "a", "z", "keys"])
     return run
 
 
@@ -260,27 +271,40 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
     ignored; an empty table gives no rows.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
-    sig = staged(named.mapInArrow(_signatures(k, num, den), "id long, th long, n long, a long, z long, keys array<long>"), "sets")
+    sig = staged(named.mapInArrow(_signatures(k, num, den), "id long, th long, n long, bin long, a long, z long, keys array<long>"), "sets")
     sid = F.xxhash64("a", "z", "n").alias("sid")
     # the smallest id of each distinct set stands for it
-    reps = staged(sig.where("id is not null and n > 0").groupBy("n", "a", "z", "id").agg(F.min("th").alias("th"))
-                  .groupBy("n", "a", "z").agg(F.min(F.struct("id", "th")).alias("r"), F.count(F.lit(1)).alias("weight"))
-                  .select("n", "a", "z", sid, F.col("r.id").alias("id"), F.col("r.th").alias("th"), "weight"), "reps")
+    reps = staged(sig.where("id is not null and n > 0").groupBy("n", "bin", "a", "z", "id").agg(F.min("th").alias("th"))
+                  .groupBy("n", "bin", "a", "z").agg(F.min(F.struct("id", "th")).alias("r"), F.count(F.lit(1)).alias("weight"))
+                  .select("n", "bin", "a", "z", sid, F.col("r.id").alias("id"), F.col("r.th").alias("th"), "weight"), "reps")
     keyed = (sig.select("id", "th", "a", "z", "keys").join(reps.select("id", "th", "a", "z", "sid"), ["id", "th", "a", "z"])
              .select("sid", F.explode("keys").alias("key")))
     pairs = (keyed.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_heads, "u long, v long"))
     comp = connected_components(pairs).select(F.col("id").alias("sid"), F.col("component").alias("comp"))
-    cand = comp.join(reps.select("sid", "id", "th", "weight", "n"), "sid")
-    blocks = (cand.groupBy("comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
-              .select("comp", F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("t") / BLOCK_TOKENS)).cast("int").alias("nb")))
-    cand = staged(cand.join(blocks, "comp").withColumn("blk", F.expr("cast(pmod(sid, nb) as int)")), "blocks")
+    cand = comp.join(reps.select("sid", "id", "th", "weight", "n", "bin"), "sid")
+    blocks = (cand.groupBy("comp", "bin").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+              .select("comp", "bin", F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("t") / BLOCK_TOKENS)).cast("int").alias("nb")))
+    blocks = staged(blocks, "block-counts")
+    cand = (cand.join(blocks, ["comp", "bin"])
+            .join(blocks.select("comp", (F.col("bin") - 1).alias("bin"), F.col("nb").alias("above")), ["comp", "bin"], "left")
+            .join(blocks.select("comp", (F.col("bin") + 1).alias("bin"), F.col("nb").alias("below")), ["comp", "bin"], "left"))
+    cand = staged(cand.withColumn("blk", F.expr("cast(pmod(sid, nb) as int)")), "blocks")
     # the same plan at every size: a broadcast of few candidates would flip to a shuffle of all texts
-    joined = named.join(cand.select("sid", "id", "th", "weight", "comp", "blk", "nb").hint("merge"), ["id", "th"])
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1),
-                                 lambda o: F.struct(F.least("blk", o).alias("bi"), F.greatest("blk", o).alias("bj"))))
-    spread = (joined.select(F.col("sid").alias("id"), "text", F.col("weight"), "comp", "blk", pair.alias("b"))
-              .select("id", "text", "weight", "comp", F.col("b.bi").alias("bi"), F.col("b.bj").alias("bj"),
-                      F.when(F.col("blk") == F.col("b.bi"), 0).otherwise(1).alias("side")))
+    joined = named.join(cand.select("sid", "id", "th", "weight", "comp", "bin", "blk", "nb", "above", "below").hint("merge"), ["id", "th"])
+
+    def block(shift: int, n: str) -> str:
+        return f"((bin + {shift}) * 4294967296 + {n})"
+
+    def pairs_of(count: str, left: str, right: str, side: str) -> str:
+        return (f"transform(filter(sequence(0, greatest(coalesce({count}, 0) - 1, 0)), o -> o < coalesce({count}, 0)),"
+                f" o -> named_struct('bi', {left}, 'bj', {right}, 'side', {side}))")
+    # blocks of the own bin, and those of the bins that can hold partners
+    pair = F.expr("explode(concat(" + ", ".join([
+        pairs_of("nb", block(0, "least(blk, o)"), block(0, "greatest(blk, o)"), "if(blk <= o, 0, 1)"),
+        pairs_of("above", block(0, "blk"), block(1, "o"), "0"),
+        pairs_of("below", block(-1, "o"), block(0, "blk"), "1")]) + "))")
+    spread = (joined.select(F.col("sid").alias("id"), "text", F.col("weight"), "comp", pair.alias("b"))
+              .select("id", "text", "weight", "comp", "b.bi", "b.bj", "b.side"))
     done = (spread.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "side", "id")
             .mapInArrow(_verify(k, num, den), "u long, v long, links long"))
     done = staged(done, "links")
