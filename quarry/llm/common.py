@@ -4,6 +4,7 @@ connected components, and one total order with prefix sums."""
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql import Window as W
 from quarry.session import ensure_checkpoint_dir, ship_package
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def prepare(spark: SparkSession) -> None:
     """Workers import the package from a shipped zip; intermediates go to
     the folder in ``spark.checkpoint.dir``."""
@@ -28,12 +32,40 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _removing_shuffles(spark: SparkSession):
+    """The shuffle files behind a table that is written inside are removed
+    as soon as it is there: the disk holds those of one step at a time."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under the shared folder and read it back: a lost
     executor re-reads files instead of recomputing the stage."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    with _removing_shuffles(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``staged`` with one bucket for each shuffle partition of ``key``: joins
+    on the key read it without a shuffle. Rows are dealt by the key before,
+    so a task writes one bucket, not a file for every bucket."""
+    spark = df.sparkSession
+    n, table_name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+    with _removing_shuffles(spark):
+        df.repartition(n, key).write.bucketBy(n, key).option("path", shared_path(spark, name)).saveAsTable(table_name)
+    return spark.table(table_name)
 
 
 def _checksum(edges: DataFrame):

@@ -13,14 +13,13 @@ that starts j bytes before its anchor repeats when another suffix of its run
 earliest such start stays, later ones are covered.
 
 Copies of a whole text are settled by its SHA-256 before. A gram with more
-than ``hot`` anchors is never gathered: each of its strings is one row that
-is aggregated (map-side first) to its earliest start.
+than ``hot`` anchors is never gathered: its anchors are aggregated (map-side
+first) to the first one of each distinct context, and only these are compared.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.llm.common import offsets, ordered, shared_path, staged
+from quarry.llm.common import bucketed, offsets, ordered, staged
 from quarry.llm.textbytes import _INV, BASE, U, chunks, mix, powers, text_buffer
 
 SPAN = 100
@@ -337,16 +336,29 @@ def _remove(batches):
              pa.array([x[1] for x in out], pa.string())], ["rid", "spans", "kept_sha256"])
 
 
-def _hot_cover(ctx: DataFrame, span: int, gram: int) -> DataFrame:
-    """Strings of grams with too many anchors to gather: one row per string,
+def _hot_cover(ctx: DataFrame, span: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Anchors of grams with too many of them to gather: (first anchors of
+    their distinct contexts, covered intervals of the others). An anchor whose
+    context was there before is covered as a whole. A gram that even has too
+    many contexts is not gathered either: one row for each of its strings is
     aggregated to its earliest start."""
-    j = F.explode(F.expr(f"filter(sequence(0, least(nl, {span - gram})), j -> length(ctx) - nl >= {span} - j)")).alias("j")
-    rows = ctx.select("gram", "rid", "pos", "nl", "ctx", j).select(
-        "rid", (F.col("pos") - F.col("j")).cast("long").alias("s"), "j", "gram",
-        F.md5(F.expr(f"substring(ctx, nl - j + 1, {span})")).alias("string"))
-    first = rows.groupBy("gram", "j", "string").agg(F.min(F.struct("rid", "s")).alias("first"))
-    return (rows.join(first, ["gram", "j", "string"]).where("struct(rid, s) > first")
-            .select("rid", "s", (F.col("s") + span).alias("e")))
+    ctx = staged(ctx, "hot-contexts")
+    first = staged(ctx.groupBy("gram", "nl", "ctx").agg(F.min(F.struct("rid", "pos")).alias("first")), "hot-firsts")
+    low, high = f"greatest(0, {span} - length(ctx) + nl)", f"least(nl, {span - gram})"
+    again = (ctx.join(first, ["gram", "nl", "ctx"]).where(f"struct(rid, pos) > first and {low} <= {high}")
+             .select("rid", F.expr(f"cast(pos - {high} as bigint)").alias("s"), F.expr(f"cast(pos - {low} + {span} as bigint)").alias("e")))
+    reps = first.select("gram", "first.rid", "first.pos", "nl", "ctx")
+    heavy = staged(reps.groupBy("gram").count().where(F.col("count") > hot).select("gram"), "hot-varied")
+    if heavy.isEmpty():
+        return reps, again
+    j = F.explode(F.expr(f"filter(sequence(0, {high}), j -> length(ctx) - nl >= {span} - j)")).alias("j")
+    rows = (reps.join(heavy, "gram", "left_semi").select("gram", "rid", "pos", "nl", "ctx", j)
+            .select("rid", (F.col("pos") - F.col("j")).cast("long").alias("s"), "j", "gram",
+                    F.md5(F.expr(f"substring(ctx, nl - j + 1, {span})")).alias("string")))
+    start = rows.groupBy("gram", "j", "string").agg(F.min(F.struct("rid", "s")).alias("first"))
+    varied = (rows.join(start, ["gram", "j", "string"]).where("struct(rid, s) > first")
+              .select("rid", "s", (F.col("s") + span).alias("e")))
+    return reps.join(heavy, "gram", "left_anti"), again.unionByName(varied)
 
 
 def repeated_bytes(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT,
@@ -362,7 +374,6 @@ def repeated_bytes(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     ignored, an empty table gives no rows. Anchors of a run of one repeated
     byte are dense, never more than one per byte.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     keyed = base.select("id", "text", F.xxhash64("text").alias("th"), F.sha2(F.col("text"), 256).alias("sha"))
@@ -371,25 +382,24 @@ def repeated_bytes(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     inside = W.partitionBy("part").orderBy(F.col("id").asc_nulls_last(), "sha")
     reps = staged(line.join(F.broadcast(offsets(line, [], F.lit(1), "before")), "part")
                   .select("sha", "th", "id", (F.col("before") + F.row_number().over(inside)).alias("rid")), "texts-ids")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"repeats_{uuid.uuid4().hex}"
-    (keyed.where(F.octet_length("text") >= span)
-     .join(reps.select("th", F.col("id").alias("rep"), F.col("sha").alias("rsha"), "rid"), "th")
-     .where("sha = rsha and id <=> rep").select("th", "rid", "text")
-     .write.bucketBy(n, "th").option("path", shared_path(spark, "texts")).saveAsTable(name))
-    texts = spark.table(name)
+    texts = bucketed(keyed.where(F.octet_length("text") >= span)
+                     .join(reps.select("th", F.col("id").alias("rep"), F.col("sha").alias("rsha"), "rid"), "th")
+                     .where("sha = rsha and id <=> rep").select("th", "rid", "text"), "th", "repeats")
     found = staged(texts.select("th", "text").mapInArrow(_anchor_rows(span, gram), "gram long, th long, pos int")
                    .repartition("gram").sortWithinPartitions("gram")
                    .mapInArrow(_repeated, "gram long, th long, pos int"), "anchors")
-    spots = found.groupBy("th").agg(F.collect_list(F.struct("pos", "gram")).alias("spots"))
-    ctx = (texts.join(spots, "th").select("rid", "text", "spots")
-           .mapInArrow(_contexts(span, gram), "gram long, rid long, pos int, nl int, ctx binary"))
+
+    def contexts(some: DataFrame) -> DataFrame:
+        spots = some.groupBy("th").agg(F.collect_list(F.struct("pos", "gram")).alias("spots"))
+        return (texts.join(spots, "th").select("rid", "text", "spots")
+                .mapInArrow(_contexts(span, gram), "gram long, rid long, pos int, nl int, ctx binary"))
     heavy = staged(found.groupBy("gram").count().where(F.col("count") > hot).select("gram"), "hot-grams")
     if heavy.isEmpty():
-        cold, extra = ctx, None
+        cold, extra = contexts(found), None
     else:
-        ctx = staged(ctx, "contexts")
-        cold, extra = ctx.join(heavy, "gram", "left_anti"), _hot_cover(ctx.join(heavy, "gram"), span, gram)
+        cold = contexts(found.join(heavy, "gram", "left_anti"))
+        few, extra = _hot_cover(contexts(found.join(heavy, "gram", "left_semi")), span, gram, hot)
+        cold = cold.unionByName(few)
     cover = (cold.repartition("gram").sortWithinPartitions("gram", "rid", "pos")
              .mapInArrow(_cover_rows(span, gram), "rid long, s long, e long"))
     cover = staged(cover.unionByName(extra) if extra is not None else cover, "covered")
