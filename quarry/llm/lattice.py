@@ -174,7 +174,7 @@ def _keys(cosine: float, blocks: int, probes: int, miss: float):
                     x, sid = _unit(some.column("v")), some.column("sid").to_numpy()
                     label = some.column("class").to_numpy().view(np.uint64)
                     for t, proj in enumerate(plans[dim]):
-                        base = mix(label + U((t + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+                        base = mix(mix(label + U(dim)) + U((t + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
                         k = cells(x, proj, cell_size(dim, cosine), probes, base)
                         home = np.zeros(k.shape, dtype=bool)
                         home[:, 0] = True
@@ -184,13 +184,15 @@ def _keys(cosine: float, blocks: int, probes: int, miss: float):
     return run
 
 
-def _close(cosine: float):
-    """Candidate edges whose vectors are at least loosely alike."""
+def _close(loose: float, near: float):
+    """Candidate edges whose vectors are at least loosely alike, and whether
+    they are near."""
     def run(batches):
         for b in batches:
             for _, part in _same_length(b, "x"):
-                ok = (_unit(part.column("x")) * _unit(part.column("y"))).sum(axis=1) >= cosine
-                yield part.select(["u", "v"]).filter(pa.array(ok))
+                c = (_unit(part.column("x")) * _unit(part.column("y"))).sum(axis=1)
+                out = pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array(c >= near)], ["u", "v", "near"])
+                yield out.filter(pa.array(c >= loose))
     return run
 
 
@@ -232,6 +234,19 @@ def _verify(cosine: float):
     return run
 
 
+def _block_links(members: DataFrame, cosine: float, name: str) -> DataFrame:
+    """(u, v, links) of ``members`` (sid, weight, x, comp): all cosines inside
+    a group, computed by pairs of blocks."""
+    size = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("nb"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1),
+                                 lambda o: F.struct(F.least("blk", o).alias("bi"), F.greatest("blk", o).alias("bj"))))
+    spread = (members.join(size, "comp").withColumn("blk", F.expr("cast(pmod(xxhash64(sid), nb) as int)"))
+              .select("sid", "weight", "x", "comp", "blk", pair.alias("b"))
+              .select("sid", "weight", "x", "comp", "b.bi", "b.bj", F.expr("if(blk = b.bi, 0, 1)").alias("side")))
+    return staged(spread.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "side", "sid")
+                  .mapInArrow(_verify(cosine), "u long, v long, links long"), name)
+
+
 def vector_classes(vecs: DataFrame, cosine: float = COSINE, probes: int = PROBES, miss: float = MISS,
                    id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id), one row for each row of ``vecs``:
@@ -246,10 +261,12 @@ def vector_classes(vecs: DataFrame, cosine: float = COSINE, probes: int = PROBES
 
     A pair exactly at the threshold is missed with a probability of at most
     ``miss``, closer pairs with far less. Members of a cell are linked to the
-    cell's first vector only, never to each other; groups found so are cut
-    into blocks, and all cosines inside a group are computed block by block,
-    so the counts of a group of any size are whole and no group is ever in
-    one task.
+    cell's first vector where they are loosely alike. Members so near to it
+    that whatever links with them is linked to it too are done; the others of
+    the cell are compared with each other, so every pair of a cell is met
+    whatever its first vector is. Cells and the groups found so are cut into
+    blocks, and all cosines inside are computed block by block, so the counts
+    of a group of any size are whole and no group is ever in one task.
     """
     fine = F.expr("v is not null and id is not null and label is not null and size(v) > 0 and not exists(v, e -> e is null or isnan(e)"
                   " or abs(e) = double('infinity')) and exists(v, e -> e <> 0)")
@@ -265,22 +282,20 @@ def vector_classes(vecs: DataFrame, cosine: float = COSINE, probes: int = PROBES
                                                               "sid long, key long, home boolean"), "cells")
     heads = (keys.groupBy("key").agg(F.min(F.expr("if(home, sid, null)")).alias("head"), F.min("sid").alias("low"), F.max("sid").alias("high"))
              .where("head is not null and low <> high").select("key", "head"))
-    edges = keys.join(heads, "key").where("sid <> head").select(F.greatest("sid", "head").alias("u"), F.least("sid", "head").alias("v")).distinct()
+    met = keys.join(heads, "key").where("sid <> head").select("key", "sid", "home", F.greatest("sid", "head").alias("u"), F.least("sid", "head").alias("v"))
     # within a group around one vector members lie up to two links apart
-    loose = 1 - 5 * (1 - cosine)
-    edges = (edges.join(reps.select(F.col("sid").alias("u"), F.col("v").alias("x")), "u")
-             .join(reps.select(F.col("sid").alias("v"), F.col("v").alias("y")), "v")
-             .select("u", "v", "x", "y").mapInArrow(_close(loose), "u long, v long"))
+    loose = max(-1.0, 1 - 5 * (1 - cosine))
+    near = float(np.cos(np.arccos(loose) - np.arccos(cosine))) + 1e-9
+    edges = staged(met.select("u", "v").distinct().join(reps.select(F.col("sid").alias("u"), F.col("v").alias("x")), "u")
+                   .join(reps.select(F.col("sid").alias("v"), F.col("v").alias("y")), "v")
+                   .select("u", "v", "x", "y").mapInArrow(_close(loose, near), "u long, v long, near boolean"), "head-links")
+    left = staged(met.join(edges.where("near"), ["u", "v"], "left_anti").select("key", "sid", "home"), "cells-left")
+    again = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home")).where("home and n > 1").select("key")
+    rest = (left.join(again, "key").join(reps.select("sid", F.col("v").alias("x")), "sid")
+            .select("sid", F.lit(1).cast("long").alias("weight"), "x", F.col("key").alias("comp")))
+    edges = edges.select("u", "v").unionByName(_block_links(rest, cosine, "cell-links").select("u", "v"))
     comp = connected_components(edges).select(F.col("id").alias("sid"), F.col("component").alias("comp"))
-    cand = comp.join(reps.select("sid", "weight", F.col("v").alias("x")), "sid")
-    size = cand.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("nb"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1),
-                                 lambda o: F.struct(F.least("blk", o).alias("bi"), F.greatest("blk", o).alias("bj"))))
-    spread = (cand.join(size, "comp").withColumn("blk", F.expr("cast(pmod(xxhash64(sid), nb) as int)"))
-              .select("sid", "weight", "x", "comp", "blk", pair.alias("b"))
-              .select("sid", "weight", "x", "comp", "b.bi", "b.bj", F.expr("if(blk = b.bi, 0, 1)").alias("side")))
-    done = staged(spread.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "side", "sid")
-                  .mapInArrow(_verify(cosine), "u long, v long, links long"), "vector-links")
+    done = _block_links(comp.join(reps.select("sid", "weight", F.col("v").alias("x")), "sid"), cosine, "vector-links")
     linked = done.groupBy(F.col("u").alias("sid")).agg(F.sum("links").alias("links"))
     place = connected_components(done.select("u", "v")).withColumnRenamed("id", "sid")
     top = place.join(reps.select("sid", "id"), "sid").groupBy("component").agg(F.min("id").alias("top"))

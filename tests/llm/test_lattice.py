@@ -122,3 +122,23 @@ def test_hard_cases(spark):
     assert twice == sorted(got * 2, key=str)
     assert result(frame(spark, rows).limit(0)) == []
     assert len(result(frame(spark, [(1, None, None)]))) == 1
+
+
+@pytest.mark.parametrize("block", [1024, 300])
+def test_pairs_inside_a_cluster(spark, monkeypatch, block):
+    """Links among 2,000 vectors of one label that lie around one direction
+    (cosine 0.85): a cell's first vector is rarely near the others."""
+    monkeypatch.setattr(L, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(12)
+    n, dim = 2000, 64
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    x = unit(np.sqrt(.85) * unit(rng.normal(size=dim)) + np.sqrt(.15) * unit(rng.normal(size=(n, dim))))
+    y = rng.normal(size=(300, dim))
+    y = unit(y - (y * x[:300]).sum(axis=1, keepdims=True) * x[:300])
+    x = np.concatenate([x, .985 * x[:300] + np.sqrt(1 - .985 ** 2) * y])
+    want = (x @ x.T >= .98).sum() - len(x)
+    assert want >= 600
+    got = L.vector_classes(frame(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)])).toPandas()
+    assert len(got) == len(x) and got.n_links.sum() == want
+    partner = got.set_index("vec_id").component_id
+    assert all(partner[i] == partner[n + i] for i in range(300))
