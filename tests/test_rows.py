@@ -228,6 +228,23 @@ def test_lsh_recall(spark):
     assert recall >= 0.75, recall
 
 
+def test_lsh_recall_of_the_registered_query(spark):
+    """At least 0.9 for the benchmark items, for the ids divisible by 50 and for all vectors."""
+    from quarry.plans.catalog_retrieval import q_dense_topk_lsh
+    t = Tables(spark, SF_BIG)
+    q = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.doc_id) for r in dense_topk(q, t.embeddings, k=2, exclude_self=True).collect()}
+    some = {(r.query_id, r.doc_id) for r in q_dense_topk_lsh(spark, SF_BIG).collect()}
+    items = {r.item_id for r in t.benchmark.select("item_id").collect()} & {q for q, _ in exact}
+    fifties = {q for q, _ in exact if q % 50 == 0}
+    assert {q for q, _ in some} == items | fifties
+    for ids in (items, fifties):
+        want = {p for p in exact if p[0] in ids}
+        assert len(want & some) >= .9 * len(want), len(want & some) / len(want)
+    every = {(r.query_id, r.doc_id) for r in dense_topk_lsh(q, t.embeddings, k=2, exclude_self=True).collect()}
+    assert len(exact & every) >= .9 * len(exact), len(exact & every) / len(exact)
+
+
 # T4: sentence packing against a brute-force packer -----------------------------
 def _py_sentences(text):
     out = []
