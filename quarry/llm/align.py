@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.atoms import BLOCK, Block, ByteBpe, Known, Ragged, blocks
+from quarry.llm.atoms import BLOCK, Block, ByteBpe, Known, Ragged, blocks, flat_ids
 from quarry.llm.common import staged
 
 DOC, PAIRS, VECTOR = 0, 1, 2
@@ -39,12 +39,15 @@ class Pieces:
             self.is_byte.append(m.is_byte(i))
             self.bytes.append(bytes([int(piece[3:5], 16)]) if m.is_byte(i) else
                               b"" if m.is_control(i) or m.is_unknown(i) else piece.replace("▁", " ").encode())
-        if any("▁" in m.id_to_piece(i).lstrip("▁") for i in range(m.get_piece_size())):
-            raise ValueError("pieces of this model reach over a blank: words are not independent")
+        pieces, end = [m.id_to_piece(i) for i in range(m.get_piece_size())], m.encode("\n")
+        if len(end) != 2 or any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
+            raise ValueError("pieces of this model reach over a blank or a line end: words are not independent")
+        self.end = end[1]
 
-    def __call__(self, atoms: list[str]) -> list[list[int]]:
-        """The model adds the blank that every atom begins with."""
-        return self.model.encode([a[1:] for a in atoms], num_threads=1)
+    def __call__(self, atoms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The model itself adds a blank before the line end of each call."""
+        encode = lambda t: self.model.encode(t, num_threads=1)
+        return flat_ids(encode, lambda t: encode("\n" + t)[2:], self.end, atoms)
 
 
 def same_bytes(a: list[bytes], b: list[bytes], is_byte: list[bool]) -> np.ndarray:
@@ -56,7 +59,7 @@ def same_bytes(a: list[bytes], b: list[bytes], is_byte: list[bool]) -> np.ndarra
 
 def _table(values: list[bytes]) -> Ragged:
     out = Ragged(np.uint8)
-    out.extend([np.frombuffer(v, np.uint8) for v in values])
+    out.extend(np.frombuffer(b"".join(values), np.uint8), np.array([len(v) for v in values]))
     return out
 
 
@@ -89,24 +92,22 @@ class Aligner(Known):
         size = np.fromiter(map(len, atoms), np.int64, len(atoms))
         texts = [a.decode("utf-8", "replace") for a in atoms]
         a, b = Ragged(np.int64), Ragged(np.int64)
-        a.extend(self.a(texts))
-        b.extend(self.b(texts))
+        a.extend(*self.a(texts))
+        b.extend(*self.b(texts))
         every, ok = np.arange(len(atoms)), np.ones(len(atoms), dtype=bool)
         data = np.frombuffer(b"".join(atoms), np.uint8)
         for ids, table in ((a, self.a_bytes), (b, self.b_bytes)):
-            got = _sums(table.size(ids.take(every)), ids.size(every))
-            ok &= got == size
-            keep = np.flatnonzero(got == size)
-            where = np.repeat(keep, size[keep])
-            start = np.cumsum(size) - size
-            mine = np.repeat(start[keep] - (np.cumsum(size[keep]) - size[keep]), size[keep]) + np.arange(len(where))
-            ok[where[table.take(ids.take(keep)) != data[mine]]] = False
+            ok &= _sums(table.size(ids.all()), ids.size(every)) == size
+        # A gives back every text that is UTF-8; one that is not comes back from B as another
+        keep = np.flatnonzero(ok)
+        mine = np.repeat(ok, size)
+        ok[np.repeat(keep, size[keep])[self.b_bytes.take(b.take(keep)) != data[mine]]] = False
         good = np.flatnonzero(ok)
         n_a, n_b = np.where(ok, a.size(every), 0), np.where(ok, b.size(every), 0)
         x, y = a.take(good), b.take(good)
         x_end, y_end = np.cumsum(self.a_bytes.size(x)), np.cumsum(self.b_bytes.size(y))
         x_start, y_start = x_end - self.a_bytes.size(x), y_end - self.b_bytes.size(y)
-        cut = np.intersect1d(x_end, y_end, assume_unique=True)
+        cut = x_end[y_end[np.minimum(np.searchsorted(y_end, x_end), len(y_end) - 1)] == x_end] if len(y_end) else x_end
         gx, gy = np.searchsorted(cut, x_end), np.searchsorted(cut, y_end)
         word = np.repeat(good, n_a[good])                               # of each A token
         of_group = word[np.searchsorted(gx, np.arange(len(cut)))]
@@ -115,13 +116,13 @@ class Aligner(Known):
         i, j = np.flatnonzero(alone[gx]), np.flatnonzero(alone[gy])
         alone[gx[i[self.same_id[x[i]] != y[j]]]] = False
         i = np.flatnonzero(alone[gx])
-        self.same.extend(np.split(x[i], np.cumsum(np.bincount(word[i], minlength=len(atoms)))[:-1]))
+        self.same.extend(x[i], np.bincount(word[i], minlength=len(atoms)))
         k = np.flatnonzero(~alone[gx])
         lo, hi = np.searchsorted(y_end, x_start[k], side="right"), np.searchsorted(y_start, x_end[k], side="left")
         n = hi - lo
         over = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         pair = np.repeat(x[k], n) * self.wide + y[over]
-        self.links.extend(np.split(pair, np.cumsum(np.bincount(np.repeat(word[k], n), minlength=len(atoms)))[:-1]))
+        self.links.extend(pair, np.bincount(np.repeat(word[k], n), minlength=len(atoms)))
         n_groups = np.bincount(of_group, minlength=len(atoms))
         # tokens in the order of groups, A before B; the last of a side closes it
         order = np.argsort(np.concatenate([2 * gx, 2 * gy + 1]), kind="stable")
@@ -130,8 +131,8 @@ class Aligner(Known):
         letters = _sums(self.shown.size(shown), n_a[good] + n_b[good])
         all_letters = np.zeros(len(atoms), np.int64)
         all_letters[good] = letters
-        self.text.extend(np.split(self.shown.take(shown), np.cumsum(all_letters)[:-1]))
-        self.counts.extend(np.stack([n_a, n_b, n_groups, ok], axis=1))
+        self.text.extend(self.shown.take(shown), all_letters)
+        self.counts.extend(np.stack([n_a, n_b, n_groups, ok], axis=1).ravel(), np.full(len(atoms), 4))
 
     def rows(self, block: Block, number: int, ids: pa.Array, vector: np.ndarray):
         """The record batches of one block; ``vector`` counts its groups of
@@ -195,8 +196,8 @@ def _encode(a_path: str | None, b_path: str | None, block_bytes: int):
     def run(batches):
         al, part = _aligner(a_path, b_path), TaskContext.get().partitionId()
         vector, ids_type = np.zeros(len(al.same_id), np.int64), pa.int64()
-        for k, (block, b, i, j) in enumerate(blocks(batches, block_bytes, lead=True)):
-            ids = b.column("id").slice(i, j - i)
+        for k, (block, b) in enumerate(blocks(batches, block_bytes, lead=True)):
+            ids = b.column("id")
             ids_type = ids.type
             yield from al.rows(block, part << 32 | k, ids, vector)
         a = np.flatnonzero(vector)

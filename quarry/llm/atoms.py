@@ -1,8 +1,9 @@
 """Texts cut into atoms that tokenizers encode independently, many at once.
 
 A cut lies before a blank that stands between two characters other than white
-space. Byte-level BPE with the usual pattern starts a token there, and so
-does piece BPE whose pieces hold a blank only in front. The atoms of a block
+space, and around a line end that does. Byte-level BPE with the usual pattern
+starts a token there, and so does piece BPE whose pieces hold a blank only in
+front and no line end. The atoms of a block
 of texts are dictionary-encoded in one call, so whatever is worked out for an
 atom (its ids, its alignment) is worked out once for a block and found again
 in the worker's memory; a text is then a run of numbers.
@@ -11,14 +12,16 @@ in the worker's memory; a text is then a run of numbers.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
 
 from quarry.llm.textbytes import chunks, text_buffer
 
-BLOCK = 4 << 20              # bytes of text in a block (a longer text is one of its own)
-MEMORY = 400_000             # atoms that a worker remembers
+BLOCK = 2 << 20              # bytes of text in a block (a longer text is one of its own)
+MEMORY = 250_000             # atoms that a worker remembers
+ROWS = 1000                  # texts taken from an Arrow batch at a time
 # Fixed value: the splitting pattern that byte-level BPE files of this kind imply.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -31,17 +34,18 @@ _WIDE[[0xE1, 0xE2, 0xE3]] = True
 
 def cuts(buf: np.ndarray) -> np.ndarray:
     """True at every blank with a character other than white space on both
-    sides. Characters that share a lead byte with a wide blank count as white
+    sides, at every line end like that and behind it. Characters that share a lead byte with a wide blank count as white
     space: a cut too few is never wrong."""
     n = len(buf)
     out = np.zeros(n, dtype=bool)
     if n < 3:
         return out
-    b = np.flatnonzero(buf[1:-1] == 0x20) + 1
+    b = np.flatnonzero((buf[1:-1] == 0x20) | (buf[1:-1] == 0x0A)) + 1
     left, right = buf[b - 1], buf[b + 1]
     wide = (left >= 0x80) & ((buf[b - 2] == 0xC2) | _WIDE[buf[np.maximum(b - 3, 0)]])
     ok = (left > 0x20) & (left != 0x7F) & ~wide & _PLAIN[right]
     out[b[ok]] = True
+    out[b[ok & (buf[b] == 0x0A)] + 1] = True
     return out
 
 
@@ -76,11 +80,16 @@ class Block:
 
 
 def blocks(batches, size: int = BLOCK, lead: bool = False):
-    """(block, batch, i, j): rows i to j of each batch as blocks."""
-    for b in batches:
-        buf, off = text_buffer(b.column("text"))
-        for i, j in chunks(off, size):
-            yield Block(buf, off[i:j + 1], lead), b, i, j
+    """(block, its rows) of batches with a column ``text``."""
+    for batch in batches:
+        for r in range(0, batch.num_rows, ROWS):
+            b = batch.slice(r, ROWS)
+            buf, off = text_buffer(b.column("text"))
+            for i, j in chunks(off, size):
+                yield Block(buf, off[i:j + 1], lead), b.slice(i, j - i)
+
+
+_ASCII_WORD = re.compile(" ?[!-~]+").fullmatch
 
 
 def _simple(t: str) -> bool:
@@ -88,19 +97,40 @@ def _simple(t: str) -> bool:
     return len(t.split()) == 1 and t.strip() == (t[1:] if t[:1] == " " else t)
 
 
-def _many(encode, texts: list[str]) -> list:
-    """Ids of atoms: the simple ones in one call on their lines (a line end
-    between two of them is a token of its own), the others one by one."""
-    end = list(encode("a\nb"))[1:-1]
-    simple = [i for i, t in enumerate(texts) if _simple(t)] if len(end) == 1 else []
-    out: list = [None] * len(texts)
-    if simple:
-        ids = np.array(encode("\n".join([texts[i] for i in simple])))
-        parts = np.split(ids, np.flatnonzero(ids == end[0]))
-        if len(parts) == len(simple):
-            for i, x in zip(simple, parts, strict=True):
-                out[i] = x if i == simple[0] else x[1:]
-    return [encode(t) if x is None else x for t, x in zip(texts, out, strict=True)]
+def flat_ids(encode, one, end: int, texts: list[str], lines: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many of each) of atoms: the simple ones in one call on their
+    lines, behind a line end each, whose id is ``end`` (what comes before the
+    first is the encoder's own), the others by ``one``."""
+    simple = np.fromiter([_ASCII_WORD(t) is not None or _simple(t) for t in texts], bool, len(texts))
+    parts, sizes, order = [], [], []
+
+    def lone(i):
+        parts.append(np.array(one(texts[i]), np.int64))
+        sizes.append([len(parts[-1])])
+        order.append([i])
+    at = np.flatnonzero(simple)
+    for k in range(0, len(at), lines):
+        some = at[k:k + lines]
+        ids = np.array(encode("\n" + "\n".join([texts[i] for i in some.tolist()])), np.int64)
+        ends = np.flatnonzero(ids == end)
+        if len(ends) == len(some):
+            keep = ids != end
+            keep[:ends[0]] = False
+            parts.append(ids[keep])
+            sizes.append(np.diff(np.append(ends, len(ids))) - 1)
+            order.append(some)
+        else:
+            for i in some.tolist():
+                lone(i)
+    for i in np.flatnonzero(~simple).tolist():
+        lone(i)
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ids, size, order = np.concatenate(parts), np.concatenate(sizes), np.concatenate(order)
+    lists = Ragged(np.int64)
+    lists.extend(ids, size)
+    back = np.argsort(order)
+    return lists.take(back), size[back]
 
 
 class ByteBpe:
@@ -143,16 +173,12 @@ class ByteBpe:
     def own(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def __call__(self, texts: list[str]) -> list:
-        if self.fast is None:
-            return _many(self.own, texts)
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.strings)] if self.strings else []
-        if not odd:
-            return _many(self.fast.encode_ordinary, texts)
-        out = self([t for i, t in enumerate(texts) if i not in set(odd)])
-        for i in odd:
-            out.insert(i, self.own(texts[i]))
-        return out
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encode = self.own if self.fast is None or any(s in t for s in self.strings for t in texts) else self.fast.encode_ordinary
+        end = self.own("\n")
+        if len(end) != 1:
+            raise ValueError("a line end is no token of its own: atoms are not independent")
+        return flat_ids(encode, encode, end[0], texts)
 
 
 class Ragged:
@@ -161,22 +187,26 @@ class Ragged:
     def __init__(self, dtype):
         self.data, self.at, self.n = np.zeros(1024, dtype), np.zeros(1024, np.int64), 0
 
-    def extend(self, lists) -> None:
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
+    def extend(self, data, size) -> None:
+        """One more list for each of ``size``, their numbers in ``data``."""
+        k = len(size)
         ends = self.at[self.n] + np.cumsum(size)
-        need = int(ends[-1]) if len(ends) else 0
+        need = int(ends[-1]) if k else 0
         if need > len(self.data):
-            self.data = np.concatenate([self.data, np.zeros(max(need, len(self.data)), self.data.dtype)])
-        while self.n + len(lists) + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros(len(self.at), np.int64)])
-        if len(ends):
-            self.data[self.at[self.n]:need] = np.concatenate([np.asarray(x, self.data.dtype) for x in lists])
-            self.at[self.n + 1:self.n + 1 + len(lists)] = ends
-        self.n += len(lists)
+            self.data = np.concatenate([self.data, np.zeros(max(need, len(self.data)) - len(self.data) // 2, self.data.dtype)])
+        if self.n + k + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(k + len(self.at) // 2, np.int64)])
+        if k:
+            self.data[self.at[self.n]:need] = data
+            self.at[self.n + 1:self.n + 1 + k] = ends
+        self.n += k
 
     def size(self, i: np.ndarray) -> np.ndarray:
         return self.at[i + 1] - self.at[i]
 
+    def all(self) -> np.ndarray:
+        return self.data[:self.at[self.n]]
+
     def take(self, i: np.ndarray) -> np.ndarray:
         """The lists of the numbers ``i``, one behind the other."""
         size = self.size(i)
