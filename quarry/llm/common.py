@@ -47,16 +47,26 @@ def _removing_shuffles(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once under the shared folder and read it back: a lost
     executor re-reads files instead of recomputing the stage."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     with _removing_shuffles(spark):
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_by(df: DataFrame, key: str, values: tuple, name: str, codec: str = "snappy") -> list[DataFrame]:
+    """``staged`` in one pass, as one table for each value of ``key``."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    with _removing_shuffles(spark):
+        df.write.option("compression", codec).partitionBy(key).parquet(path)
+    rest, there = df.drop(key), {r[0] for r in df.sparkSession.read.schema(df.schema).parquet(path).select(key).distinct().collect()}
+    return [spark.read.schema(rest.schema).parquet(f"{path}/{key}={v}") if v in there else spark.createDataFrame([], rest.schema) for v in values]
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     spark = df.sparkSession
