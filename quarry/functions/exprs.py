@@ -28,8 +28,9 @@ def basename(path) -> Column:
 
 
 def stem(name) -> Column:
-    """File name without its last suffix (``Path.stem``)."""
-    return F.regexp_replace(_c(name), r"\.[^./]*$", "")
+    """File name without its last suffix (``Path.stem``): a name that begins
+    or ends with its last dot has none."""
+    return F.regexp_replace(_c(name), r"(?s)^(.+)\.[^./]+\z", "$1")
 
 
 def decode_file_name(path) -> Column:

@@ -1,9 +1,7 @@
 """Chunking: token windows, Markdown sections, sentence packing, links.
 
 All chunkers are narrow (row-local array functions + explode): a document
-is never split across tasks and no shuffle is needed, except Markdown
-sections, which regroup lines of one document (already co-partitioned by
-the document id, so the regrouping adds no exchange).
+is never split across tasks and no shuffle is needed.
 
 Generators are ``*_outer`` followed by a NULL filter on purpose: for an
 inner explode Catalyst infers ``size(array) > 0`` and pushes it below the
@@ -91,6 +89,47 @@ def first_lines(text, n: int = 2) -> Column:
 
 # T2 -------------------------------------------------------------------------
 HEADING = r"(?s)^(#+)\s(.*)"
+_HEAD = "struct<pos:int,level:int,title:string>"
+
+
+def _headings(lines: Column) -> Column:
+    """The headings outside code fences: position, level and title."""
+    def found(fences):
+        def one(line, i):
+            outside = (F.get(fences, i) % 2 == 0) & ~F.ltrim(line).startswith("```")
+            level = F.length(F.regexp_extract(line, HEADING, 1))
+            return F.when(outside & F.startswith(line, F.lit("#")) & (level > 0),
+                          F.struct(i.alias("pos"), level.alias("level"), F.trim(F.regexp_extract(line, HEADING, 2)).alias("title")))
+        return F.filter(F.transform(lines, one), lambda h: h.isNotNull())
+    # a document without fences needs no running count of them
+    fence = F.transform(lines, lambda line: F.ltrim(line).startswith("```").cast("long"))
+    counts = let(fence, lambda f: F.when(F.array_max(f) == 1, prefix_sums(f)).otherwise(f))
+    return let(counts, found)
+
+
+def _paths(heads: Column) -> Column:
+    """The path of titles above each heading, by a stack of the headings
+    that are still open: a heading closes those of its own and deeper levels.
+
+    The fold goes over runs of about the square root of the headings, so that
+    no step copies the paths of the whole document."""
+    def step(acc, h):
+        def opened(above):
+            path = F.when(F.size(above) == 0, F.lit("/")).otherwise(
+                F.concat(F.lit("/"), F.array_join(F.transform(above, lambda a: a["title"]), "/"), F.lit("/")))
+            return F.struct(F.concat(above, F.array(h)).alias("open"), F.concat(acc["paths"], F.array(path)).alias("paths"))
+        return let(F.filter(acc["open"], lambda a: a["level"] < h["level"]), opened)
+
+    none = F.array().cast("array<string>")
+    width = F.ceil(F.sqrt(F.size(heads))).cast("int")
+
+    def run(acc, i):
+        start = F.struct(acc["open"].alias("open"), none.alias("paths"))
+        return let(F.aggregate(F.slice(heads, i + 1, width), start, step),
+                   lambda x: F.struct(x["open"].alias("open"), F.concat(acc["paths"], F.array(x["paths"])).alias("paths")))
+    start = F.struct(F.array().cast(f"array<{_HEAD}>").alias("open"), F.array().cast("array<array<string>>").alias("paths"))
+    folded = F.aggregate(F.sequence(F.lit(0), F.size(heads) - 1, width), start, run)
+    return F.when(F.size(heads) > 0, F.flatten(folded["paths"])).otherwise(none)
 
 
 def markdown_sections(docs: DataFrame, id_col: str = "doc_id",
@@ -99,55 +138,26 @@ def markdown_sections(docs: DataFrame, id_col: str = "doc_id",
 
     Output: doc_id, section_index, header_path, text (heading line included).
     ``header_path`` is '/' + ancestor titles joined by '/' + '/', or '/'.
-    Headings may have any level; the deepest one that occurs (one number,
-    from one pass over the lines) says how many running values are needed.
+    Headings may have any level. All of it is folded inside the row of a
+    document, without a shuffle; text before the first heading is section 0,
+    blank sections and NULL texts give no row.
     """
-    lines = docs.select(F.col(id_col),
-                        F.posexplode_outer(F.split(_c(text_col), "\n")).alias("pos", "line")) \
-        .where(F.col("pos").isNotNull())
-    w_upto = (Window.partitionBy(id_col).orderBy("pos")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    w_before = (Window.partitionBy(id_col).orderBy("pos")
-                .rowsBetween(Window.unboundedPreceding, -1))
-    is_fence = F.ltrim(F.col("line")).startswith("```")
-    lines = lines.withColumn("_fence", is_fence.cast("int"))
-    lines = lines.withColumn("_fences_before",
-                             F.coalesce(F.sum("_fence").over(w_before), F.lit(0)))
-    inside = (F.col("_fences_before") % 2 == 1) | (F.col("_fence") == 1)
-    level = F.length(F.regexp_extract("line", HEADING, 1))
-    lines = lines.withColumn("level", F.when(~inside & (level > 0), level))
-    lines = lines.withColumn("title", F.when(F.col("level").isNotNull(),
-                                             F.trim(F.regexp_extract("line", HEADING, 2))))
-    lines = lines.withColumn("section_index",
-                             F.sum(F.col("level").isNotNull().cast("int")).over(w_upto).cast("int"))
-    deepest = (docs.select(F.explode(F.split(_c(text_col), "\n")).alias("line"))
-               .agg(F.max(F.length(F.regexp_extract("line", HEADING, 1)))).first()[0] or 0)
-    # For each level j: position and title of the last heading of level j
-    # strictly before this line.
-    # one select, so all running values come from a single Window pass
-    # (a withColumn each would plan a Window operator each)
-    lasts = []
-    for j in range(1, deepest + 1):
-        is_j = F.col("level") == j
-        lasts += [F.last(F.when(is_j, F.col("pos")), True).over(w_before).alias(f"_p{j}"),
-                  F.last(F.when(is_j, F.col("title")), True).over(w_before).alias(f"_t{j}")]
-    lines = lines.select("*", *lasts)
-    parts = []
-    for j in range(1, deepest + 1):
-        shallower = [F.coalesce(F.col(f"_p{i}"), F.lit(-1)) for i in range(1, j)]
-        newest_shallower = F.greatest(*shallower, F.lit(-1)) if shallower else F.lit(-1)
-        valid = ((F.col("level") > j) & F.col(f"_p{j}").isNotNull()
-                 & (F.col(f"_p{j}") > newest_shallower))
-        parts.append(F.when(valid, F.col(f"_t{j}")))
-    ancestors = F.filter(F.array(*parts).cast("array<string>"), lambda x: x.isNotNull())
-    path = F.when(F.size(ancestors) == 0, F.lit("/")).otherwise(
-        F.concat(F.lit("/"), F.array_join(ancestors, "/"), F.lit("/")))
-    lines = lines.withColumn("_path", F.when(F.col("level").isNotNull(), path))
-    sections = (lines.groupBy(id_col, "section_index")
-                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))),
-                                              lambda s: s["line"]), "\n").alias("text"),
-                     F.coalesce(F.max("_path"), F.lit("/")).alias("header_path")))
-    return sections.where(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0)
+    def cut(lines):
+        def with_heads(heads):
+            def with_paths(paths):
+                def section(i):
+                    start = F.when(i == 0, F.lit(0)).otherwise(F.get(heads, i - 1)["pos"])
+                    end = F.coalesce(F.get(heads, i)["pos"], F.size(lines))
+                    return F.struct(i.alias("section_index"), F.when(i == 0, F.lit("/")).otherwise(F.get(paths, i - 1)).alias("header_path"),
+                                    F.array_join(F.slice(lines, start + 1, end - start), "\n").alias("text"))
+                return F.transform(F.sequence(F.lit(0), F.size(heads)), section)
+            return let(_paths(heads), with_paths)
+        return let(_headings(lines), with_heads)
+
+    cuts = let(F.split(_c(text_col), "\n", -1), cut)
+    out = docs.select(F.col(id_col), F.explode_outer(F.when(_c(text_col).isNotNull(), cuts)).alias("_s"))
+    out = out.where(F.col("_s").isNotNull()).select(F.col(id_col), "_s.section_index", "_s.header_path", "_s.text")
+    return out.where(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0)
 
 
 # T4 -------------------------------------------------------------------------

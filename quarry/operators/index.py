@@ -54,32 +54,18 @@ def term_bucket(term, buckets: int = TERM_BUCKETS):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_postings(posts: DataFrame, path: str, buckets: int = TERM_BUCKETS) -> None:
-    """Persist postings partitioned by a stable term hash, so a query that
-    knows its terms' buckets reads only those partitions."""
-    (posts.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-     .repartition("term_bucket")
-     .write.mode("overwrite").partitionBy("term_bucket").parquet(path))
-
-
-def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 STATS_BUCKET = -1
 
 
-def write_text_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-                     buckets: int = TERM_BUCKETS) -> None:
-    """``<path>/postings``, partitioned by term bucket and sorted by term, and
-    ``<path>/stats``, one row, in one pass over the corpus.
+def write_term_postings(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+                        buckets: int = TERM_BUCKETS) -> None:
+    """Postings at ``path``, partitioned by term bucket and sorted by term, in
+    one pass over the corpus.
 
     Every document adds one extra row with a NULL term that carries its
-    length (bucket -1), so documents without any term count; the statistics
-    are summed from those rows once, when they are written. The rebalance
+    length (bucket -1), so documents without any term count. The rebalance
     sizes files from the data: a large bucket (a hot term, the length rows)
     is written by as many tasks as it needs."""
-    spark = docs.sparkSession
     dt = doc_terms(docs, id_col, text_col)
     rows = (dt.select("doc_id", "doc_len",
                       F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term"))
@@ -87,11 +73,20 @@ def write_text_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     (rows.withColumn("term_bucket", F.when(F.col("term").isNull(), F.lit(STATS_BUCKET))
                      .otherwise(term_bucket(F.col("term"), buckets)))
      .hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term")
-     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings"))
-    lengths = spark.read.schema("doc_len int, term_bucket int") \
-        .parquet(f"{path}/postings").where(F.col("term_bucket") == STATS_BUCKET)
-    (lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long").alias("total_len"),
-                 F.lit(buckets).alias("buckets"))
+     .write.mode("overwrite").partitionBy("term_bucket").parquet(path))
+
+
+def written_totals(spark: SparkSession, path: str) -> DataFrame:
+    """One row (n_docs, total_len) from the length rows of written postings."""
+    lengths = spark.read.schema("doc_len int, term_bucket int").parquet(path).where(F.col("term_bucket") == STATS_BUCKET)
+    return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long").alias("total_len"))
+
+
+def write_text_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+                     buckets: int = TERM_BUCKETS) -> None:
+    """``<path>/postings`` and ``<path>/stats``, one row."""
+    write_term_postings(docs, f"{path}/postings", id_col, text_col, buckets)
+    (written_totals(docs.sparkSession, f"{path}/postings").withColumn("buckets", F.lit(buckets))
      .write.mode("overwrite").parquet(f"{path}/stats"))
 
 

@@ -108,15 +108,23 @@ def q_tag_source(spark, sf):
 
 
 # P2 -------------------------------------------------------------------------
+# names beside those of the pages: hidden files, several suffixes, dots at the ends
+ODD_NAMES = (".bashrc", "a.", "..x", ".a.b", "a.b.c", "...", "x..", ".a.", "plain", "dir.d/.hidden", "dir.d/file")
+
+
 @register("path_parts", ops=("P2",), sql=f"""
-WITH p AS (SELECT page_id, {PATH_SQL} AS path FROM pages)
-SELECT page_id, path, string_split(path, '/')[-1] AS base,
-       regexp_replace(string_split(path, '/')[-1], '\\.[^./]*$', '') AS stem
-FROM p""")
+WITH p AS (SELECT page_id, {PATH_SQL} AS path FROM pages
+           UNION ALL SELECT page_id, '/odd/' || name FROM pages, (VALUES {", ".join(f"('{n}')" for n in ODD_NAMES)}) o(name)),
+b AS (SELECT page_id, path, string_split(path, '/')[-1] AS base FROM p),
+d AS (SELECT *, length(base) - strpos(reverse(base), '.') + 1 AS dot FROM b)
+SELECT page_id, path, base,
+       CASE WHEN contains(base, '.') AND dot > 1 AND dot < length(base) THEN substr(base, 1, dot - 1) ELSE base END AS stem
+FROM d""")
 def q_path_parts(spark, sf):
     p = Tables(spark, sf).pages.select("page_id", X.url_path("url").alias("path"))
-    return p.select("page_id", "path", X.basename("path").alias("base"),
-                    X.stem(X.basename("path")).alias("stem"))
+    odd = p.select("page_id", F.explode(F.array(*[F.lit(f"/odd/{n}") for n in ODD_NAMES])).alias("path"))
+    return p.unionByName(odd).select("page_id", "path", X.basename("path").alias("base"),
+                                     X.stem(X.basename("path")).alias("stem"))
 
 
 # P3 -------------------------------------------------------------------------
@@ -323,10 +331,10 @@ def q_dup_counts(spark, sf):
 
 @register("dup_names", ops=("R13", "A7"), sql="""
 SELECT source || '.md' AS name, min(doc_id) AS first_id, count(*) - 1 AS n_removed
-FROM documents WHERE doc_id % 3 <> 0 GROUP BY source HAVING count(*) > 1""")
+FROM documents GROUP BY source HAVING count(*) > 1""")
 def q_dup_names(spark, sf):
     """Files of one name, however their contents differ."""
-    d = (Tables(spark, sf).documents.where("doc_id % 3 <> 0")
+    d = (Tables(spark, sf).documents
          .select("doc_id", F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit("/"), F.col("source"), F.lit(".md")).alias("path")))
     named = d.select("doc_id", X.basename("path").alias("name"))
     return (files.duplicate_counts(named, "name", "doc_id")

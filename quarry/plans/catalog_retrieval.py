@@ -9,7 +9,7 @@ from quarry.operators.chunk import page_estimate, token_chunks
 from quarry.operators.index import doc_freq, postings
 from quarry.operators.retrieve import dense_topk, dense_topk_lsh, hybrid_merge
 from quarry.plans import answer
-from quarry.plans.registry import Tables, register
+from quarry.plans.registry import Tables, register, scratch
 from quarry.plans.sqlparts import bm25_cte, context_cte, dense_cte, terms_expr, token_chunks_cte
 
 
@@ -70,11 +70,9 @@ SELECT query_id, context FROM ctx""")
 def q_context_from_index(spark, sf):
     """The same answers from a written index (chunk table + postings +
     statistics) in the shared checkpoint folder: index once, query many."""
-    import uuid
     from quarry.plans import index_store
-    from quarry.session import ensure_checkpoint_dir
     t = Tables(spark, sf)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    path = scratch(spark, "index")
     index_store.build(t.documents, path)
     return index_store.answer(spark, path, t.benchmark.withColumnRenamed("item_id", "query_id"))
 

@@ -10,7 +10,7 @@ from quarry.operators.convert import blocks_to_markdown, page_blocks
 from quarry.operators.embed import hash_embed_sparse
 from quarry.operators.enrich import (context_or_default, context_prompt, contextual_chunks,
                                      extractive_context, lead_sentence)
-from quarry.plans.registry import Tables, register
+from quarry.plans.registry import Tables, register, scratch
 from quarry.plans.sqlparts import embed_cte as _embed_cte
 from quarry.plans.sqlparts import token_chunks_cte
 
@@ -24,19 +24,46 @@ MORE_HTML = ("<h2>Head two</h2><table><caption>Cap</caption><tr><th>k</th><td>v
              "<pre>keep  this</pre><blockquote>quoted &#233;&#x2014;</blockquote><div>bare <b>bold</b> text<br/>after</div><dl><dt>t</dt><dd>d</dd></dl>tail")
 
 
+# a page for each page whose markup is hard to read, with the page's address
+HARD_HTML = ("<nav><a href='/x'>Menu</a><ul><li>item one</li></ul></nav><p>1 < 2 and 3 > 2 stays</p><p title=\"a > b\" data-x='<q>'>at ",
+             "</p><p class=it's>it's fine</p><!-- note > gone --><div>mail <me@here.org> if x<y</div><footer>foot <b>note</b></footer>"
+             "after<!-- open words <p>kept</p><script>var unclosed = <b>1;")
+HARD_BLOCKS = ((1, "nav", "Menu"), (3, "nav", "item one"), (7, "p", "1 < 2 and 3 > 2 stays"), (9, "p", "at {url}"), (11, "p", "it's fine"),
+               (13, "text", "mail <me@here.org> if x<y"), (15, "footer", "foot note"), (16, "text", "after<!-- open words"), (17, "p", "kept"),
+               (18, "text", "var unclosed = 1;"))
+
+
 def more_pages(pages):
-    return pages.select("page_id", F.concat("html", F.lit(MORE_HTML)).alias("html"))
+    hard = pages.select((-F.col("page_id") - 1).alias("page_id"), F.concat(F.lit(HARD_HTML[0]), "url", F.lit(HARD_HTML[1])).alias("html"))
+    return pages.select("page_id", F.concat("html", F.lit(MORE_HTML)).alias("html")).unionByName(hard)
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _hard_blocks_sql() -> str:
+    """The blocks of the hard pages, as they are written above."""
+    rows = ", ".join(f"({n}, {_quoted(k)}, {_quoted(t)})" for n, k, t in HARD_BLOCKS)
+    return (f"SELECT -p.page_id - 1 AS page_id, CAST(b.pos AS INTEGER) AS block_pos, b.kind, replace(b.text, '{{url}}', p.url) AS text"
+            f" FROM pages p, (VALUES {rows}) b(pos, kind, text)")
+
+
+def _without(h: str, opens: str, closes: str) -> str:
+    """``h`` without what stands between two strings."""
+    parts = f"string_split({h}, '{opens}')"
+    return (f"array_to_string(list_concat({parts}[1:1], list_transform({parts}[2:], lambda x: ' ' || substr(x, strpos(x, '{closes}') + {len(closes)}))), '')")
 
 
 def _clean_html(h: str) -> str:
-    for tag in ("script", "style", "nav", "footer"):
-        h = f"regexp_replace({h}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
-    return f"regexp_replace({h}, '(?s)<!--.*?-->', ' ', 'g')"
+    for opens, closes in (("<script", "</script>"), ("<style", "</style>"), ("<!--", "-->")):
+        h = _without(h, opens, closes)
+    return h
 
 
 def _decoded(t: str) -> str:
     """The references that the pages have; the ampersand comes last."""
-    for name, c in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("apos", "chr(39)"), ("nbsp", "chr(160)"), ("#39", "chr(39)"),
+    for name, c in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("apos", "chr(39)"), ("nbsp", "chr(160)"), ("copy", "chr(169)"), ("middot", "chr(183)"), ("#39", "chr(39)"),
                     ("#233", "chr(233)"), ("#x2014", "chr(8212)"), ("amp", "'&'")):
         t = f"replace({t}, '&{name};', {c})"
     return t
@@ -46,17 +73,23 @@ def _blocks_cte() -> str:
     h = _clean_html(f"html || '{MORE_HTML}'")
     block = "h1|h2|h3|h4|h5|h6|p|li|td|th|pre|blockquote|dt|dd|caption|title"
     other = ("html|head|body|div|section|article|main|header|aside|form|figure|figcaption|ul|ol|dl|table|thead|tbody|tfoot|tr|hr|br")
+    h = f"regexp_replace({h}, '(?i)<(nav|footer)(\\s[^>]*)?>', chr(3) || '\\1' || chr(4), 'g')"
+    h = f"regexp_replace({h}, '(?i)</(nav|footer)>', chr(3) || chr(4), 'g')"
     h = f"regexp_replace({h}, '(?i)<({block})(\\s[^>]*)?/?>', chr(1) || '\\1' || chr(2), 'g')"
     h = f"regexp_replace({h}, '(?i)</?({block}|{other})(\\s[^>]*)?/?>', chr(1) || 'text' || chr(2), 'g')"
     return f"""
-_h AS (SELECT page_id, string_split('text' || chr(2) || {h}, chr(1)) AS parts FROM pages),
-_pc AS (SELECT page_id, unnest(parts) AS piece, unnest(range(len(parts))) AS block_pos FROM _h),
+_h AS (SELECT page_id, string_split(chr(4) || {h}, chr(3)) AS regions FROM pages),
+_pp AS (SELECT page_id, flatten(list_transform(regions, lambda r: list_transform(
+          string_split('text' || chr(2) || split_part(r, chr(4), 2), chr(1)), lambda p: split_part(r, chr(4), 1) || chr(3) || p))) AS parts FROM _h),
+_pc AS (SELECT page_id, unnest(parts) AS piece, unnest(range(len(parts))) AS block_pos FROM _pp),
 _raw AS (SELECT page_id, CAST(block_pos AS INTEGER) AS block_pos,
-                  lower(split_part(piece, chr(2), 1)) AS kind,
+                  CASE WHEN split_part(piece, chr(3), 1) <> '' THEN lower(split_part(piece, chr(3), 1))
+                       ELSE lower(split_part(split_part(piece, chr(3), 2), chr(2), 1)) END AS kind,
                   trim(regexp_replace(regexp_replace(split_part(piece, chr(2), 2), '<[^>]*>', ' ', 'g'),
                                       '\\s+', ' ', 'g')) AS text
            FROM _pc),
-blocks AS (SELECT page_id, block_pos, kind, {_decoded('text')} AS text FROM _raw WHERE length(text) > 0)"""
+blocks AS (SELECT page_id, block_pos, kind, {_decoded('text')} AS text FROM _raw WHERE length(text) > 0
+           UNION ALL {_hard_blocks_sql()})"""
 
 
 def _markdown_docs_sql() -> str:
@@ -129,10 +162,20 @@ def q_page_blocks(spark, sf):
     return page_blocks(more_pages(Tables(spark, sf).pages))
 
 
-@register("page_text_kept", ops=("T1",), sql=f"""
-WITH b AS (SELECT page_id, string_split(trim(regexp_replace(regexp_replace({_clean_html(f"html || '{MORE_HTML}'")}, '<[^>]*>', ' ', 'g'),
-                                                            '\\s+', ' ', 'g')), ' ') AS words FROM pages)
-SELECT page_id, len(words) AS n_words, md5({_decoded("array_to_string(words, ' ')")}) AS digest FROM b WHERE len(words) > 0""")
+def _page_words_sql() -> str:
+    """Words of pages by their angle brackets alone, and those of the hard
+    pages as they are written."""
+    h = f"string_split({_clean_html(f"html || '{MORE_HTML}'")}, '<')"
+    text = f"array_to_string(list_concat({h}[1:1], list_transform({h}[2:], lambda x: ' ' || substr(x, strpos(x, '>') + 1))), '')"
+    plain = f"translate({text}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ')"
+    return f"""
+WITH b AS (SELECT page_id, list_filter(string_split({plain}, ' '), lambda w: w <> '') AS words FROM pages),
+k AS (SELECT page_id, {_decoded("array_to_string(words, ' ')")} AS text FROM b WHERE len(words) > 0
+      UNION ALL SELECT -page_id - 1, replace({_quoted(' '.join(t for _, _, t in HARD_BLOCKS))}, '{{url}}', url) FROM pages)
+SELECT page_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_words, md5(text) AS digest FROM k"""
+
+
+@register("page_text_kept", ops=("T1",), sql=_page_words_sql())
 def q_page_text_kept(spark, sf):
     """All words of the blocks, in order, are the words of the page."""
     b = page_blocks(more_pages(Tables(spark, sf).pages))
@@ -148,7 +191,7 @@ SELECT page_id,
                          THEN repeat('#', CAST(substr(kind, 2) AS INT)) || ' ' ELSE '' END || text,
                   chr(10) || chr(10) ORDER BY block_pos) AS markdown,
        count(*) AS n_blocks
-FROM blocks WHERE kind <> 'title'
+FROM blocks WHERE kind NOT IN ('title', 'nav', 'footer')
 GROUP BY page_id""")
 def q_blocks_to_markdown(spark, sf):
     return blocks_to_markdown(page_blocks(more_pages(Tables(spark, sf).pages)))
@@ -293,61 +336,62 @@ def q_hash_embed(spark, sf):
     return hash_embed_sparse(Tables(spark, sf).benchmark, "item_id")
 
 
-def _contextual_answer_sql() -> str:
-    from quarry.plans.sqlparts import bm25_cte
-    return f"""
-WITH {_sections_cte(_markdown_docs_sql())},
+def contextual_cte(src: str) -> str:
+    """CTEs ``_cx(chunk_id, text, src_doc, page_number, context)`` and
+    ``_in(chunk_id, text)``, the contextual chunks of the Markdown ``src``
+    and what is searched of them."""
+    return f"""{_sections_cte(src)},
 _sd AS (SELECT CAST(doc_id AS VARCHAR) || '-' || CAST(section_index AS VARCHAR) AS doc_id,
                doc_id AS src_doc, header_path, text, {_lead_sql('text')} AS lead FROM sections),
 {token_chunks_cte(src='_sd', extra='src_doc, header_path, lead')},
 _nc AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id),
-_cx AS (SELECT c.chunk_id, c.text, c.src_doc, greatest(1, (c.chunk_index * 800) // 2000 + 1) AS page_number,
+_cx AS (SELECT c.chunk_id, c.text, c.src_doc, CAST(greatest(1, (c.chunk_index * 800) // 2000 + 1) AS INTEGER) AS page_number,
                'Part of ' || CAST(c.src_doc AS VARCHAR) || ' ' || c.header_path || ' (chunk '
                  || CAST(c.chunk_index + 1 AS VARCHAR) || ' of ' || CAST(_nc.n AS VARCHAR) || '). '
                  || coalesce(c.lead, '') AS context
         FROM chunks c JOIN _nc ON _nc.doc_id = c.doc_id),
-_in AS (SELECT chunk_id, context || chr(10) || text AS text FROM _cx),
-{bm25_cte('_in', 'chunk_id', 'benchmark', 'item_id')},
+_in AS (SELECT chunk_id, context || chr(10) || text AS text FROM _cx)"""
+
+
+def formatted_cte(hits: str = "hits", source: str = "d.source") -> str:
+    """CTE ``fmt(query_id, rank, formatted)`` of contextual chunks."""
+    return f"""
 fmt AS (SELECT h.query_id, h.rank, '**Document Chunk ' || CAST(h.rank AS VARCHAR) || '**' || chr(10)
-             || 'Source: ' || d.source || ' (Page ' || CAST(c.page_number AS VARCHAR) || ')'
+             || 'Source: ' || {source} || ' (Page ' || CAST(c.page_number AS VARCHAR) || ')'
              || chr(10) || 'Context: ' || c.context || chr(10) || chr(10) || 'Content:' || chr(10) || c.text AS formatted
-      FROM hits h JOIN _cx c ON c.chunk_id = h.doc_id JOIN documents d ON d.doc_id = c.src_doc)
+      FROM {hits} h JOIN _cx c ON c.chunk_id = h.doc_id JOIN documents d ON d.doc_id = c.src_doc)"""
+
+
+ANSWERED = """
 SELECT q.item_id AS query_id,
        CASE WHEN count(fmt.rank) = 0 THEN 'No relevant documents found for this query.'
             ELSE chr(10) || chr(10) || repeat('=', 50) || string_agg(fmt.formatted, chr(10) || chr(10) ORDER BY fmt.rank) END AS context
 FROM benchmark q LEFT JOIN fmt ON fmt.query_id = q.item_id GROUP BY q.item_id"""
 
 
+def contextual_answer_sql(source: str = "d.source") -> str:
+    from quarry.plans.sqlparts import bm25_cte
+    return (f"WITH {contextual_cte(_markdown_docs_sql())},{bm25_cte('_in', 'chunk_id', 'benchmark', 'item_id')},"
+            f"{formatted_cte(source=source)}{ANSWERED}")
+
+
 def contextual_answer(spark, sf):
     """Sections, token chunks, context and page, one index over context and
     text, and the answers with source, page and context."""
-    import uuid
     from quarry.plans import index_store
-    from quarry.session import ensure_checkpoint_dir
     t = Tables(spark, sf)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/contextual-{uuid.uuid4().hex}"
+    path = scratch(spark, "contextual")
     index_store.build(markdown_docs(t.documents), path, contextual=True)
     return index_store.answer(spark, path, t.benchmark.withColumnRenamed("item_id", "query_id"))
 
 
-@register("contextual_answer", ops=("E1", "E5", "R8", "P7"), sql=_contextual_answer_sql())
+@register("contextual_answer", ops=("E1", "E5", "R8", "P7"), sql=contextual_answer_sql())
 def q_contextual_answer(spark, sf):
     return contextual_answer(spark, sf)
 
 
 @register("ingest_chain", ops=("T5", "E4"), sql=f"""
-WITH {_sections_cte(_markdown_docs_sql())},
-_sd AS (SELECT CAST(doc_id AS VARCHAR) || '-' || CAST(section_index AS VARCHAR) AS doc_id,
-               doc_id AS src_doc, header_path, text, {_lead_sql('text')} AS lead FROM sections),
-{token_chunks_cte(src='_sd', extra='src_doc, header_path, lead')},
-_nc AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id),
-_cx AS (SELECT c.chunk_id, c.text,
-               CAST(greatest(1, (c.chunk_index * 800) // 2000 + 1) AS INTEGER) AS page_number,
-               'Part of ' || CAST(c.src_doc AS VARCHAR) || ' ' || c.header_path || ' (chunk '
-                 || CAST(c.chunk_index + 1 AS VARCHAR) || ' of ' || CAST(_nc.n AS VARCHAR) || '). '
-                 || coalesce(c.lead, '') AS context
-        FROM chunks c JOIN _nc ON _nc.doc_id = c.doc_id),
-_in AS (SELECT chunk_id, context || chr(10) || text AS text FROM _cx),
+WITH {contextual_cte(_markdown_docs_sql())},
 {_embed_cte('_in', 'chunk_id')},
 _nz AS (SELECT id, count(*) AS nnz, round(sum(value * value), 6) AS sq FROM emb GROUP BY id)
 SELECT _cx.chunk_id, _cx.page_number, _cx.context, coalesce(_nz.nnz, 0) AS nnz, _nz.sq AS norm_sq

@@ -8,11 +8,13 @@ reads the same tables as pre-registered views.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.session import ensure_checkpoint_dir
 from quarry.sources.tables import read_table
 
 
@@ -49,8 +51,13 @@ class Tables:
         return read_table(self.spark, self.sf_dir, name)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def load_all() -> dict[str, Check]:
     # importing the catalog modules fills CHECKS
-    from quarry.plans import (catalog_chat, catalog_core, catalog_eval, catalog_io,  # noqa: F401
+    from quarry.plans import (catalog_chat, catalog_core, catalog_eval, catalog_index, catalog_io,  # noqa: F401
                               catalog_retrieval, catalog_text)
     return CHECKS

@@ -53,11 +53,6 @@ def ensure_parallelism(df: DataFrame, key: str, min_partitions: int | None = Non
     return df
 
 
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    for n in names:
-        read_table(spark, sf_dir, n).createOrReplaceTempView(n)
-
-
 def scan_vectors(spark: SparkSession, source: str, **jdbc_options) -> DataFrame:
     """Vector table scan (S4).
 

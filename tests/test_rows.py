@@ -137,14 +137,8 @@ def test_index_tables(spark):
 def test_postings_written_by_term_bucket(spark, tmp_path):
     docs = Tables(spark, SF_SMALL).documents
     posts = I.postings(docs)
-    out = str(tmp_path / "postings")
-    I.write_postings(posts, out, buckets=8)
-    back = I.read_postings(spark, out)
-    assert back.count() == posts.count()
     q = spark.createDataFrame([(1, docs.first().text[:200])], "query_id long, text string")
     a = bm25_topk(q, docs).collect()
-    b = bm25_topk(q, docs, posts=back.drop("term_bucket")).collect()
-    assert sorted(a) == sorted(b)
     # postings and statistics written in one pass
     I.write_text_index(docs, str(tmp_path / "index"), buckets=8)
     p2, st = I.read_text_index(spark, str(tmp_path / "index"))
