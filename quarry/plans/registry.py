@@ -59,5 +59,5 @@ def scratch(spark: SparkSession, name: str) -> str:
 def load_all() -> dict[str, Check]:
     # importing the catalog modules fills CHECKS
     from quarry.plans import (catalog_chat, catalog_core, catalog_eval, catalog_index, catalog_io,  # noqa: F401
-                              catalog_retrieval, catalog_text)
+                              catalog_retrieval, catalog_stream, catalog_text)
     return CHECKS

@@ -336,10 +336,10 @@ def test_streaming_ingest_equals_batch(spark, tmp_path):
 
 
 def test_streaming_dedupe_across_batches(spark, tmp_path):
-    from quarry.streaming.ingest import dedupe_documents, document_stream
+    from quarry.streaming.ingest import document_stream, first_documents
     src = tmp_path / "src"
     rows = _write_docs(str(src), sf=SF_MID, sub_batches=3)
-    stream = dedupe_documents(document_stream(spark, str(src), max_files_per_trigger=400), "text")
+    stream = first_documents(document_stream(spark, str(src), max_files_per_trigger=400), "text")
     q = (stream.writeStream.format("memory").queryName("dedup_out")
          .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
     q.awaitTermination(300)
@@ -489,21 +489,36 @@ def test_cli_jobs(spark, tmp_path):
     assert all(sp[i] <= hy[i] <= 4 for i in range(5)) and any(hy[i] > sp[i] for i in range(5))
 
 
-def test_streaming_dedupe_with_watermark(spark, tmp_path):
-    """Bounded state: keys expire after the watermark; within it, copies
-    are still dropped (all files here share one modification window)."""
-    from quarry.streaming.ingest import dedupe_documents, document_stream
+def test_streaming_keys_expire(spark, tmp_path):
+    """With a time to live a path counts as new again once it has expired;
+    before that, and in one micro-batch, copies are left out."""
+    import time
+    from quarry.streaming.ingest import document_stream, first_documents
     src = tmp_path / "src"
-    rows = _write_docs(str(src), sf=SF_SMALL, sub_batches=2)
-    stream = dedupe_documents(document_stream(spark, str(src), max_files_per_trigger=120), "text",
-                              watermark="1 hour")
-    q = (stream.writeStream.format("memory").queryName("dedup_wm")
-         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    assert spark.table("dedup_wm").count() == len({r["text"] for r in rows})
+    src.mkdir()
+
+    def run():
+        stream = first_documents(document_stream(spark, str(src)), "text", ttl_ms=8000)
+        q = (stream.writeStream.foreachBatch(lambda df, n: seen.extend(r.file_name for r in df.select("file_name").collect()))
+             .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+        q.awaitTermination(300)
+    seen: list = []
+    for n in ("a", "b"):
+        (src / f"{n}.txt").write_text("same text")
+    run()
+    assert seen == ["a.txt"]
+    (src / "c.txt").write_text("same text")
+    (src / "d.txt").write_text("another text")
+    started = time.time()
+    run()
+    if time.time() - started < 6:
+        assert seen == ["a.txt", "d.txt"]
+    time.sleep(9)
+    (src / "e.txt").write_text("same text")
+    run()
+    assert seen[-1] == "e.txt"
 
 
-# P14 percent-encoding, P16 model listing ------------------------------------------
 def test_quote_plus_and_model_listing(spark):
     from urllib.parse import quote_plus
     from quarry.functions.exprs import mask_password, quote_plus as qp
