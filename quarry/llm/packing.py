@@ -12,7 +12,6 @@ number says in which copy of which combination a piece lies.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -22,14 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarry.llm.atoms import Block, ByteBpe, Known, Ragged, blocks
 from quarry.llm.common import offsets, staged
+from quarry.llm.textbytes import text_buffer
 
 CAPACITY, END_ID = 1024, 2
-CACHE = 800_000            # words whose ids a worker remembers
 _TOKENIZERS: dict = {}
-_MIXED = re.compile(r" \s|\s ")
-_ODD = re.compile(r"^\n|\n\n|\n\Z|[^\S \n]")
-_ATOMS = re.compile(r"((?<=[^\W\d_])[.,](?=\n|\Z)|\n)")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -37,65 +34,33 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
-
-    The tokenizer cuts before every blank between two other characters,
-    around a line end between two others, and before punctuation that ends a
-    word; cuts are encoded independently, so atoms are encoded once (many in
-    one call, told apart by the id of a line end) and words remembered.
-    Texts with a blank beside other white space are encoded as a whole.
-    """
+class Encoder(Known):
+    """Ids of texts. The words of a block are told apart in one call, each
+    distinct one is encoded once and remembered, and a text's ids are gathered
+    by the numbers of its words."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.end = self._plain("a\nb")[len(self._plain("a")):len(self._plain("a")) + 4]
-        self.joins = len(self._plain("a\nb")) == len(self._plain("a")) + 4 + len(self._plain("b"))
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _encode(self, atoms: list[str]) -> None:
-        """Atoms hold no line ends."""
-        for i in range(0, len(atoms), 50_000):
-            part = atoms[i:i + 50_000]
-            ids = np.frombuffer(self._plain("\n".join(part)), dtype="<u4") if self.joins else np.zeros(0, "<u4")
-            ends = np.flatnonzero(ids == np.frombuffer(self.end, "<u4")[0]) if self.joins else ids
-            if len(ends) == len(part) - 1:
-                data, at = ids.tobytes(), [0, *(4 * (ends + 1)).tolist(), 4 * (len(ids) + 1)]
-                for a, x, y in zip(part, at[:-1], at[1:], strict=True):
-                    self.known[a] = data[x:y - 4]
-            else:
-                for a in part:
-                    self.known[a] = self._plain(a)
-
-    def _learn(self, words: set[str]) -> None:
-        self.known[""], self.known["\n"] = b"", self.end
-        split, atoms = {}, []
-        for w in words:
-            if _ODD.search(w):
-                self.known[w] = self._plain(w)
-            elif w.isalpha() or w[1:].isalpha():
-                atoms.append(w)
-            else:
-                split[w] = [a for a in _ATOMS.split(w) if a]
-        new = set(atoms).union(*split.values()).difference(self.known)
-        self._encode(list(new))
-        for w, parts in split.items():
-            self.known[w] = b"".join([self.known[a] for a in parts])
+        super().__init__()
+        self.bpe = ByteBpe(path, special=True)
+        self.tok = self.bpe.tok
+        self.reset()
+
+    def reset(self) -> None:
+        self.ids = Ragged(np.uint32)
+
+    def work(self, atoms: list[bytes]) -> None:
+        self.ids.extend(*self.bpe([a.decode("utf-8", "replace") for a in atoms]))
+
+    def block(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many of each)."""
+        words = self.number(block)[block.of]
+        n = np.bincount(block.rows(), weights=self.ids.size(words), minlength=len(block.first) - 1).astype(np.int64)
+        return self.ids.take(words), n
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        hard = ["\0" in t or _MIXED.search(t) is not None for t in texts]
-        words = [[] if h else t.replace(" ", "\0 ").split("\0") for t, h in zip(texts, hard, strict=True)]
-        missing = set().union(*words).difference(self.known)
-        if len(self.known) + len(missing) > CACHE and self.known:
-            self.known.clear()
-            missing = set().union(*words)
-        self._learn(missing)
-        get = self.known.__getitem__
-        return [self._plain(t) if h else b"".join(map(get, w)) for t, w, h in zip(texts, words, hard, strict=True)]
+        buf, off = text_buffer(pa.array(texts, pa.string()))
+        ids, n = self.block(Block(buf, off))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(n)[:-1])]
 
 
 def _encoder(path: str | None) -> Encoder:
@@ -107,34 +72,35 @@ def _encoder(path: str | None) -> Encoder:
     return _TOKENIZERS[path]
 
 
-def cut(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n tokens; only the first may be short."""
-    first = n - capacity * (-(-n // capacity) - 1)
-    return [(0, first)] + [(first + i * capacity, capacity) for i in range((n - first) // capacity)]
+def cut(n: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, piece, start, length) of the pieces of texts of n > 0 tokens;
+    only the first piece of a text may be short."""
+    pieces = -(-n // capacity)
+    text = np.repeat(np.arange(len(n)), pieces)
+    piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = (n - capacity * (pieces - 1))[text]
+    return text, piece, np.where(piece > 0, first + (piece - 1) * capacity, 0), np.where(piece > 0, capacity, first)
 
 
 def _pieces(path: str | None, capacity: int, end_id: int, with_ids: bool):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches):
         enc, part = _encoder(path), TaskContext.get().partitionId()
-        for b in batches:
-            ids, texts = b.column("id"), b.column("text")
-            for i in range(0, b.num_rows, 500):
-                out = []
-                for j, data in enumerate(enc([t or "" for t in texts.slice(i, 500).to_pylist()])):
-                    data += end
-                    for k, (s, n) in enumerate(cut(len(data) // 4, capacity)):
-                        mine = data[4 * s:4 * (s + n)]
-                        out.append((i + j, k, s, n, zlib.crc32(mine), mine))
-                at, k, s, n, crc, mine = zip(*out, strict=True)
-                cols = [pa.array([part] * len(at), pa.int32()), ids.take(pa.array(at)), pa.array(k, pa.int32()), pa.array(s, pa.int64()),
-                        pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["part", "doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    cols.append(pa.array([np.frombuffer(m, "<u4").astype(np.int32) for m in mine], pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names)
+        for block, b in blocks(batches):
+            ids, n = enc.block(block)
+            data = np.full(len(ids) + len(n), end_id, dtype="<u4")          # an end behind each text
+            data[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+            at = np.cumsum(n + 1) - (n + 1)
+            text, piece, start, length = cut(n + 1, capacity)
+            lo = at[text] + start
+            raw = memoryview(data).cast("B")
+            crc = [zlib.crc32(raw[4 * x:4 * y]) for x, y in zip(lo.tolist(), (lo + length).tolist(), strict=True)]
+            cols = [pa.array(np.full(len(text), part), pa.int32()), b.column("id").take(pa.array(text)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                    pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            names = ["part", "doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(data.astype(np.int32))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(cols, names)
     return run
 
 
