@@ -390,12 +390,29 @@ def q_contextual_answer(spark, sf):
     return contextual_answer(spark, sf)
 
 
-@register("ingest_chain", ops=("T5", "E4"), sql=f"""
+_INGEST_SQL = f"""
 WITH {contextual_cte(_markdown_docs_sql())},
 {_embed_cte('_in', 'chunk_id')},
 _nz AS (SELECT id, count(*) AS nnz, round(sum(value * value), 6) AS sq FROM emb GROUP BY id)
 SELECT _cx.chunk_id, _cx.page_number, _cx.context, coalesce(_nz.nnz, 0) AS nnz, _nz.sq AS norm_sq
-FROM _cx LEFT JOIN _nz ON _nz.id = _cx.chunk_id""")
+FROM _cx LEFT JOIN _nz ON _nz.id = _cx.chunk_id"""
+
+
+@register("ingest_chain", ops=("T5", "E4"), sql=_INGEST_SQL)
 def q_ingest_chain(spark, sf):
     from quarry.plans.ingest import contextual_index
     return contextual_index(markdown_docs(Tables(spark, sf).documents))
+
+
+@register("ingest_pipeline", ops=("T5", "E4"), sql=_INGEST_SQL)
+def q_ingest_pipeline(spark, sf):
+    """The ingest as a saved and loaded pipeline of transformers."""
+    from pyspark.ml import PipelineModel
+    from quarry.plans.transformers import ingest_pipeline
+    path = scratch(spark, "pipeline")
+    ingest_pipeline().save(path)
+    rows = PipelineModel.load(path).transform(markdown_docs(Tables(spark, sf).documents))
+    numbers = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
+    return rows.select("chunk_id", "page_number", "context", F.size(F.filter(numbers, lambda x: x != 0)).cast("long").alias("nnz"),
+                       F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x * x).alias("sq")) \
+        .select("chunk_id", "page_number", "context", "nnz", F.when(F.col("nnz") > 0, F.round("sq", 6)).alias("norm_sq"))

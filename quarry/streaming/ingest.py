@@ -83,6 +83,8 @@ def first_documents(stream: DataFrame, key_col: str = "file_path", ttl_ms: int |
     after it was written, or for good. ``known`` (content_key, file_path)
     are documents that count as seen from the start."""
     stream.sparkSession.conf.set(_STORE, _ROCKSDB)
+    if ttl_ms:       # else a run over what is there would go on with empty batches to let keys expire, and never end
+        stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     names = [c.split()[0] for c in DOCUMENT.split(", ")]
     keyed = stream.withColumn("content_key", content_key(key_col)).select(*names).groupBy("content_key")
     return keyed.transformWithStateInPandas(
