@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -87,9 +87,12 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(table_name)
 
 
-def _checksum(edges: DataFrame):
-    h = F.xxhash64("u", "v")
-    return edges.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(20,0)"))).first()
+def _edges(df: DataFrame) -> tuple[DataFrame, tuple]:
+    """``staged`` links and their count and hash sum, observed by the write."""
+    seen = Observation()
+    noted = df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h"))
+    out = staged(noted, "cc")
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -98,7 +101,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Large-star / small-star rounds: every round links each node's larger
     neighbours, then its smaller ones, to the smallest neighbour, until the
     forest is flat (logarithmically many rounds). A round is aggregations
-    (combined map-side) and equi-joins, so one hub with most of the links
+    (combined map-side) and equi-joins, with repeated links removed once, so one hub with most of the links
     is an aggregation key and a splittable join key, never one group in
     one task. Each round is cut with a table in the shared folder. Only
     nodes that occur in a link come back; nulls link with nothing.
@@ -107,20 +110,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return df.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
 
     e = canon(edges.where("u is not null and v is not null and u <> v"), F.col("u"), F.col("v")).distinct()
-    e = staged(e, "cc")
-    seen = _checksum(e)
+    e, seen = _edges(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (both.where("v > u").join(low, "u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u")
                  .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                            F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x"))
                  .select("x.u", "x.v").where("u <> v").distinct())
-        e = staged(small, "cc")
-        now = _checksum(e)
+        old = e
+        e, now = _edges(small)
+        dropped(old)
         if now == seen:
             break
         seen = now

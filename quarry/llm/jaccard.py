@@ -35,7 +35,7 @@ from quarry.llm.common import connected_components, staged
 from quarry.llm.textbytes import U, chunks, mix, shingles, text_buffer
 
 GROWTH = 1.5           # sizes u_i of the classes grow by this factor
-BLOCK_ROWS = 768       # documents of one block inside a component
+BLOCK_ROWS = 1536      # documents of one block inside a component
 BLOCK_TOKENS = 1 << 20  # shingles of one block (one set may be larger)
 PAIRS = 1 << 20         # co-occurrences counted at a time
 

@@ -101,7 +101,21 @@ def test_join_hard_cases(spark):
 
 # --- shards ------------------------------------------------------------------
 
+def placed(data, shards):
+    """(doc_id, size, crc, shard, slot) one by one: the midpoint of each
+    document's bytes in the whole order says its shard."""
+    order = sorted(((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in data), key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
+    total, start, used, out = sum(x[1] for x in order), 0, [0] * shards, []
+    for i, size, crc in order:
+        s = min(shards - 1, (2 * start + size) * shards // (2 * total))
+        out.append((i, size, crc, s, used[s]))
+        used[s] += 1
+        start += size
+    return sorted(out, key=str)
+
+
 def check_shards(data, rows, shards):
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in rows), key=str) == placed(data, shards)
     got = sorted(rows, key=lambda r: (r.shard, r.slot))
     total = sum(r.size for r in rows)
     weight = [0] * shards
