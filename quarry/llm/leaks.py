@@ -108,7 +108,11 @@ def overlaps(docs: DataFrame, bench: DataFrame, masks=MASKS, window: int = WINDO
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` whose texts overlap no benchmark item."""
+    """The rows of ``docs``, with their own columns, whose texts overlap no
+    benchmark item. Null and empty texts overlap with nothing and stay; rows
+    that repeat an id (null included) and a text go or stay together; with an
+    empty benchmark all rows stay.
+    """
     bad = overlaps(docs, bench, id_col=id_col, text_col=text_col, **settings).select("key").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th")).alias("key"))
     return rows.join(bad, "key", "left_anti").select("row.*")

@@ -331,6 +331,10 @@ def score_quality(docs: DataFrame, model: CoTrained | None, text_col: str = "tex
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **columns) -> DataFrame:
-    """The rows of ``docs`` that score at least ``least``."""
+    """The rows of ``docs``, with their own columns, that score at least
+    ``least``. Null and empty texts, null metadata and null ids are scored
+    like other values and stay or go by their score; rows that repeat go or
+    stay together; without a model every row stays, an empty table is empty.
+    """
     names = {k: v for k, v in columns.items() if k in ("text_col", "lang_col", "source_col", "chars_col")}
     return score_quality(docs, fit_quality(docs, labels, **columns), **names).where(F.col("p_good") >= least).select("row.*")
