@@ -57,19 +57,22 @@ def term_bucket(term, buckets: int = TERM_BUCKETS):
 STATS_BUCKET = -1
 
 
+def postings_and_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Postings, and one more row for every document with a NULL term that
+    carries its length, so that one pass over the texts gives the corpus
+    totals as well, documents without any term included."""
+    dt = doc_terms(docs, id_col, text_col)
+    return (dt.select("doc_id", "doc_len", F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term"))
+            .groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf")))
+
+
 def write_term_postings(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                         buckets: int = TERM_BUCKETS) -> None:
     """Postings at ``path``, partitioned by term bucket and sorted by term, in
-    one pass over the corpus.
-
-    Every document adds one extra row with a NULL term that carries its
-    length (bucket -1), so documents without any term count. The rebalance
+    one pass over the corpus; the length rows are bucket -1. The rebalance
     sizes files from the data: a large bucket (a hot term, the length rows)
     is written by as many tasks as it needs."""
-    dt = doc_terms(docs, id_col, text_col)
-    rows = (dt.select("doc_id", "doc_len",
-                      F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term"))
-            .groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf")))
+    rows = postings_and_lengths(docs, id_col, text_col)
     (rows.withColumn("term_bucket", F.when(F.col("term").isNull(), F.lit(STATS_BUCKET))
                      .otherwise(term_bucket(F.col("term"), buckets)))
      .hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term")
