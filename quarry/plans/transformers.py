@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.chunk import TOKEN_CHUNK_OVERLAP, TOKEN_CHUNK_SIZE, markdown_sections, page_estimate, token_chunks
-from quarry.operators.embed import EMBED_DIM, embed_input, hash_embed_sparse, sparse_to_dense
+from quarry.operators.embed import EMBED_DIM, embed_input, with_vectors
 from quarry.operators.enrich import extractive_context, lead_sentence
 from quarry.session import stage
 
@@ -73,8 +73,8 @@ class ContextWriter(_Step):
 
 class HashedEmbedder(_Step):
     """Adds the hashed embedding of every chunk's text, with its context in
-    front unless ``mode`` is ``text``. The chunks feed two branches and are
-    written once to the shared folder."""
+    front unless ``mode`` is ``text``. The chunks are read twice and written
+    once to the shared folder."""
 
     contextCol = Param(Params._dummy(), "contextCol", "column of the context", TypeConverters.toString)
     outputCol = Param(Params._dummy(), "outputCol", "column for the vector", TypeConverters.toString)
@@ -89,9 +89,8 @@ class HashedEmbedder(_Step):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         chunks = stage(dataset, "embedder")
         text = embed_input("text", F.col(self.get("contextCol")), self.get("mode"))
-        sparse = hash_embed_sparse(chunks.select("chunk_id", text.alias("text")), "chunk_id", dim=self.get("dim"))
-        dense = sparse_to_dense(sparse, "chunk_id", self.get("dim"), ids=chunks).withColumnRenamed("embedding", self.get("outputCol"))
-        return chunks.join(dense, "chunk_id")
+        return with_vectors(chunks.withColumn("embed_text", text), "chunk_id", "embed_text", self.get("dim"), self.get("outputCol"),
+                            joined=True).drop("embed_text")
 
 
 def ingest_pipeline(chunk_size: int = TOKEN_CHUNK_SIZE, chunk_overlap: int = TOKEN_CHUNK_OVERLAP, dim: int = EMBED_DIM,
