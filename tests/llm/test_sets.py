@@ -84,6 +84,24 @@ def test_blocks_of_one_group(spark, monkeypatch):
     assert got == brute(data, 3, 90, 100)
 
 
+def test_texts_of_a_small_group_are_sent_once(spark, monkeypatch):
+    """Sizes of several bins link in a chain; a group that fits a block is one block."""
+    from quarry.llm import jaccard
+    seen = []
+    data = [(i, " ".join(f"w{j}" for j in range(30 + i))) for i in range(40)]
+    old = jaccard.staged
+
+    def keep(df, name, *rest):
+        out = old(df, name, *rest)
+        if name == "blocks":
+            seen.append(out.select("comp", "bin").distinct().count())
+            seen.append(out.where("above is not null or below is not null").count())
+        return out
+    monkeypatch.setattr(jaccard, "staged", keep)
+    got = {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in jaccard_classes(frame(spark, data)).collect()}
+    assert got == brute(data, 5, 8, 10) and seen == [1, 0]
+
+
 def test_join_hard_cases(spark):
     data = [(1, None), (2, ""), (3, " \t"), (4, "one two"), (5, "One  TWO"), (6, "É x"), (7, "é x"), (8, "long " * 30_000), (9, "long " * 30_000)]
     df = frame(spark, [*data, (None, "one two")])
