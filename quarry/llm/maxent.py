@@ -1,18 +1,21 @@
 """A hashed maximum-entropy language model over words.
 
 The probability of a token is that of its class given the context, times
-that of the token within its class. The most frequent tokens are classes of
-their own, the others share hashed classes, in which a token has its
-smoothed share of the class's training tokens (one more share stands for all
-tokens that training never saw). Classes follow a softmax over features of
-the context: the last token, the last two, and the one before the last alone
-(a skip), each hashed to a row of weights.
+that of the token within its class given the same context. Tokens are ranked
+by their training counts: the most frequent ones are classes of their own,
+class g of the others holds the next 16 ** (g + 1) ranks, and a token is the
+g + 1 digits of its place there, so no two tokens share a code. One rank
+after the last stands for all tokens that training never saw. The class and
+every digit follow a softmax over features of the context: the last token,
+the last two, and the one before the last alone (a skip), each hashed, for a
+digit with the class and the digits before it, to a row of weights.
 
 Token counts come from all training texts and are joined to the blocks of
-texts that use them. The weights start from the counts of features and
-classes; then every round sums the gradient of all training texts in Spark
-and updates them. Only this table of weights, whose size is a parameter, and
-the totals of classes ever reach the driver.
+texts that use them. The weights of classes start from the counts of features
+and classes, those of digits from the counts of the tokens behind them; then
+every round sums the gradient of all training texts in Spark and updates
+both. Only these tables of weights, whose sizes are parameters, and the
+totals of classes ever reach the driver.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import dropped, staged, staged_by
+from quarry.llm.common import dropped, offsets, staged, staged_by
 from quarry.llm.textbytes import U, chunks, mix, text_buffer
 
-HEAD, TAIL = 8, 8             # classes of one token, classes shared by hash
-BUCKETS = 1 << 15             # rows of weights
+HEAD, TAIL = 8, 8             # classes of one token, classes of 16, 16 ** 2, ... tokens
+BUCKETS = 1 << 15             # rows of weights of classes
+DIGIT_ROWS = 1 << 16          # rows of weights of digits
 ROUNDS, STEP, SHRINK = 2, 0.5, 80.0
 BLOCK = 8 << 20               # bytes of text whose distinct tokens are looked up together
 BATCH = 1 << 12               # tokens scored at a time
@@ -37,6 +41,7 @@ TASK_TOKENS = 8_000_000       # tokens whose gradient one task sums
 TEMPLATES = 3
 BEGIN = 1 << 16               # the token before a text
 ENCODED, LISTED = 0, 1
+FIRST = np.array([HEAD + sum(16 ** (j + 1) for j in range(g)) for g in range(TAIL)])  # ranks that begin the shared classes
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -71,9 +76,9 @@ def tokens(buf: np.ndarray, off: np.ndarray):
     return rank[number], code.dictionary.take(pa.array(often)), first + np.arange(texts + 1)
 
 
-def features(word: np.ndarray, first: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """(templates, tokens) rows of weights of each token's context; ``word``
-    are hashes below BEGIN, texts begin at ``first[:-1]``."""
+def contexts(word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(templates, tokens) hashes of each token's context; ``word`` are hashes
+    below BEGIN, texts begin at ``first[:-1]``."""
     before = np.full((2, len(word)), BEGIN, np.uint64)
     place = np.arange(len(word)) - np.repeat(first[:-1], np.diff(first))
     for k in (1, 2):
@@ -81,11 +86,33 @@ def features(word: np.ndarray, first: np.ndarray, buckets: int = BUCKETS) -> np.
     one, two = before
     wide = U(BEGIN + 1)
     keys = one + U(1 << 40), one * wide + two + U(2 << 40), two + U(3 << 40)
-    return np.stack([mix(k * U(0x9E3779B97F4A7C15)) % U(buckets) for k in keys]).astype(np.int32)
+    return np.stack([mix(k * U(0x9E3779B97F4A7C15)) for k in keys])
+
+
+def features(word: np.ndarray, first: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """(templates, tokens) rows of weights of each token's context."""
+    return (contexts(word, first) % U(buckets)).astype(np.int32)
+
+
+def classes(rank: np.ndarray) -> np.ndarray:
+    return np.where(rank < HEAD, rank, HEAD - 1 + np.searchsorted(FIRST, rank, side="right")).astype(np.uint8)
+
+
+def digits(rank: np.ndarray, cls: np.ndarray):
+    """For every place of a digit: (tokens that have one, hashes of the class
+    and the digits before it, the digit)."""
+    shared = np.flatnonzero(cls >= HEAD)
+    group = cls[shared].astype(np.int64) - HEAD
+    place = rank[shared].astype(np.int64) - FIRST[group]
+    for level in range(int(group.max(initial=-1)) + 1):
+        there = group >= level
+        left = 4 * (group[there] - level)              # bits of this digit's followers
+        before = (place[there] >> (left + 4)) << 6 | group[there] << 3 | level
+        yield shared[there], mix((before.astype(np.uint64) + U(1)) * U(0xD6E8FEB86659FD93)), place[there] >> left & 15
 
 
 def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Of all classes, for a batch of contexts."""
+    """Of all classes, for a batch of contexts; ``bias`` is one for all or one for each."""
     x = np.take(weights, rows[0], axis=0)
     for r in rows[1:]:
         x += np.take(weights, r, axis=0)
@@ -101,12 +128,13 @@ def add_seen(rows: np.ndarray, cls: np.ndarray, out: np.ndarray) -> None:
         out += np.bincount(r * np.int64(out.shape[1]) + cls, minlength=out.size).reshape(out.shape)
 
 
-def add_expected(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
-    """What the model expects of the same counts."""
+def add_expected(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, out: np.ndarray, node: np.ndarray | None = None) -> None:
+    """What the model expects of the same counts (``node``: rows of ``bias``)."""
     k = out.shape[1]
     for i in range(0, rows.shape[1], 1 << 16):
         part = rows[:, i:i + (1 << 16)]
-        p = np.concatenate([probabilities(weights, bias, part[:, j:j + BATCH]) for j in range(0, part.shape[1], BATCH)]).ravel()
+        p = np.concatenate([probabilities(weights, bias if node is None else bias[node[i + j:i + j + BATCH]], part[:, j:j + BATCH])
+                            for j in range(0, part.shape[1], BATCH)]).ravel()
         for r in part:
             out += np.bincount(((r * np.int64(k))[:, None] + np.arange(k)).ravel(), weights=p, minlength=out.size).reshape(out.shape)
 
@@ -158,19 +186,14 @@ def _encode(batches):
                      pa.nulls(m, pa.bool_()), *[pa.nulls(m, pa.binary())] * 3, words[x:x + m].cast(pa.binary()), pa.array(count[x:x + m], pa.int64())], names)
 
 
-def _code(total: int, distinct: int, in_class: dict[int, tuple[int, int]]):
-    """The texts of one block with counts looked up: base scores, classes and
-    hashes of their tokens, and their share within the classes."""
-    size = np.zeros((HEAD + TAIL, 2))
-    for c, x in in_class.items():
-        size[c] = x
-
+def _code(total: int, distinct: int):
+    """The texts of one block with counts looked up: base scores and the
+    ranks of their tokens."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         i = right.column("i").to_numpy()
-        count, cls, word = np.zeros(len(i), np.int64), np.zeros(len(i), np.uint8), np.zeros(len(i), np.uint16)
-        count[i], cls[i], word[i] = (right.column(c).to_numpy() for c in ("c", "class", "hash"))
+        count, rank = np.zeros(len(i), np.int64), np.zeros(len(i), np.uint32)
+        count[i], rank[i] = (right.column(c).to_numpy() for c in ("c", "rank"))
         base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
-        within = np.where(cls < HEAD, 0.0, np.log10((count + 0.5) / (size[cls, 0] + 0.5 * (size[cls, 1] + 1))))
         planes = [text_buffer(left.column(c)) for c in ("low", "mid", "high")]
         first = planes[0][1]
         number = planes[0][0].astype(np.int32)
@@ -182,20 +205,28 @@ def _code(total: int, distinct: int, in_class: dict[int, tuple[int, int]]):
 
         return pa.Table.from_arrays(
             [left.column("block"), left.column("i"), left.column("doc_id"), left.column("held_out"), pa.array(np.diff(first)),
-             pa.array(sums((count > 0).astype(np.int64)).astype(np.int64)), pa.array(sums(base)), pa.array(sums(within)), _packed(cls[number], first), _packed(word[number], first)],
-            ["block", "i", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes", "words"])
+             pa.array(sums((count > 0).astype(np.int64)).astype(np.int64)), pa.array(sums(base)), _packed((rank & 0xFFFF).astype(np.uint16)[number], first), _packed((rank >> 16).astype(np.uint16)[number], first)],
+            ["block", "i", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "low", "high"])
     return run
 
 
 def _unpacked(batches):
-    """(rows, classes, rows of weights, offsets) of some coded texts."""
+    """(batch, ranks, hashes of contexts, offsets) of some coded texts."""
     for batch in batches:
         for i in range(0, batch.num_rows, ROWS):
             b = batch.slice(i, ROWS)
-            cls, _ = text_buffer(b.column("classes"))
-            data, off = text_buffer(b.column("words"))
+            (low, off), (high, _) = (text_buffer(b.column(c)) for c in ("low", "high"))
+            rank = np.frombuffer(low.tobytes(), "<u2").astype(np.int64) | np.frombuffer(high.tobytes(), "<u2").astype(np.int64) << 16
             first = off // 2
-            yield b, cls, features(np.frombuffer(data.tobytes(), "<u2").astype(np.uint64), first), first
+            yield b, rank, contexts(mix(rank.astype(np.uint64) + U(1)) % U(BEGIN), first), first
+
+
+def _digit_rows(rank: np.ndarray, cls: np.ndarray, context: np.ndarray):
+    """(tokens, rows of weights, rows of the digits' own counts, digit) for
+    every place of a digit."""
+    for at, node, digit in digits(rank, cls):
+        rows = np.stack([mix(c[at] ^ node) % U(DIGIT_ROWS) for c in context]).astype(np.int32)
+        yield at, rows, (node % U(DIGIT_ROWS)).astype(np.int32), digit
 
 
 def _pieces(*tables: np.ndarray) -> pa.RecordBatch:
@@ -208,17 +239,36 @@ def _pieces(*tables: np.ndarray) -> pa.RecordBatch:
 
 def _count(batches):
     out = np.zeros((BUCKETS, HEAD + TAIL), np.int64)
-    for _, cls, rows, _ in _unpacked(batches):
-        add_seen(rows, cls, out)
+    for _, rank, context, _ in _unpacked(batches):
+        add_seen((context % U(BUCKETS)).astype(np.int32), classes(rank), out)
     yield _pieces(out.astype(np.float64))
 
 
-def _gradient(weights: np.ndarray, bias: np.ndarray):
+def node_counts(rank: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Counts of the tokens behind every digit."""
+    out = np.zeros((DIGIT_ROWS, 16))
+    for at, node, digit in digits(rank, classes(rank)):
+        out += np.bincount((node % U(DIGIT_ROWS)).astype(np.int64) * 16 + digit, weights=count[at], minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _nodes(batches):
+    out = np.zeros((DIGIT_ROWS, 16))
+    for b in batches:
+        out += node_counts(b.column("rank").to_numpy(), b.column("c").to_numpy() + 0.5)
+    yield _pieces(out)
+
+
+def _gradient(weights: np.ndarray, bias: np.ndarray, of_digits: np.ndarray, nodes: np.ndarray):
     def run(batches):
-        seen, expected = np.zeros((BUCKETS, HEAD + TAIL)), np.zeros((BUCKETS, HEAD + TAIL))
-        for _, cls, rows, _ in _unpacked(batches):
-            add_seen(rows, cls, seen)
-            add_expected(weights, bias, rows, expected)
+        seen, expected = (np.zeros((BUCKETS + DIGIT_ROWS, HEAD + TAIL)) for _ in range(2))
+        for _, rank, context, _ in _unpacked(batches):
+            rows, cls = (context % U(BUCKETS)).astype(np.int32), classes(rank)
+            add_seen(rows, cls, seen[:BUCKETS])
+            add_expected(weights, bias, rows, expected[:BUCKETS])
+            for _, rows, node, digit in _digit_rows(rank, cls, context):
+                add_seen(rows, digit, seen[BUCKETS:])
+                add_expected(of_digits, nodes, rows, expected[BUCKETS:], node)
         yield _pieces(seen, expected)
     return run
 
@@ -230,26 +280,32 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table.column("piece")[:1], table.column("part")[:1], *[pa.array([x], pa.binary()) for x in out]], table.column_names)
 
 
-def _summed(coded: DataFrame, tasks: int, fn, names: list[str]) -> list[np.ndarray]:
-    """Tables of the size of the weights, summed over all tasks: first over
+def _summed(rows: DataFrame, tasks: int, fn, names: list[str], size: int) -> list[np.ndarray]:
+    """Tables of ``size`` rows of weights, summed over all tasks: first over
     64 groups of tasks, then over these."""
     schema = "piece int, part int, " + ", ".join(f"{n} binary" for n in names)
-    parts = coded.select("classes", "words").coalesce(tasks).mapInArrow(fn, schema)
+    parts = rows.coalesce(tasks).mapInArrow(fn, schema)
     parts = parts.groupBy("piece", F.pmod("part", F.lit(64))).applyInArrow(lambda t: _total(t), schema)
     rows = parts.groupBy("piece").applyInArrow(lambda t: _total(t), schema).collect()
     rows.sort(key=lambda r: r["piece"])
-    return [np.frombuffer(b"".join(r[n] for r in rows), np.float64).reshape(BUCKETS, HEAD + TAIL) if rows else np.zeros((BUCKETS, HEAD + TAIL)) for n in names]
+    return [np.frombuffer(b"".join(r[n] for r in rows), np.float64).reshape(size, HEAD + TAIL) if rows else np.zeros((size, HEAD + TAIL)) for n in names]
+
 
+def _score(weights: np.ndarray, bias: np.ndarray, of_digits: np.ndarray, nodes: np.ndarray):
+    def chosen(table, own, rows, value):
+        p = probabilities(table, own, rows)
+        return np.log10(p[np.arange(len(p)), value])
 
-def _score(weights: np.ndarray, bias: np.ndarray):
     def run(batches):
-        for b, cls, rows, first in _unpacked(batches):
-            log = np.empty(len(cls))
+        for b, rank, context, first in _unpacked(batches):
+            rows, cls, log = (context % U(BUCKETS)).astype(np.int32), classes(rank), np.empty(len(rank))
             for i in range(0, len(cls), BATCH):
-                p = probabilities(weights, bias, rows[:, i:i + BATCH])
-                log[i:i + BATCH] = np.log10(p[np.arange(len(p)), cls[i:i + BATCH]])
-            score = np.add.reduceat(log, first[:-1]) + b.column("within").to_numpy() if b.num_rows else np.zeros(0)
-            keep = [c for c in b.schema.names if c not in ("within", "classes", "words")]
+                log[i:i + BATCH] = chosen(weights, bias, rows[:, i:i + BATCH], cls[i:i + BATCH])
+            for at, rows, node, digit in _digit_rows(rank, cls, context):
+                for i in range(0, len(at), BATCH):
+                    log[at[i:i + BATCH]] += chosen(of_digits, nodes[node[i:i + BATCH]], rows[:, i:i + BATCH], digit[i:i + BATCH])
+            score = np.add.reduceat(log, first[:-1]) if b.num_rows else np.zeros(0)
+            keep = [c for c in b.schema.names if c not in ("low", "high")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(score)], [*keep, "score"])
     return run
 
@@ -264,7 +320,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids, by a hash; a null counts as training). Null and empty texts are
     their end token alone. Null ids are kept, rows that repeat are learnt and
     scored each on their own, other columns are ignored; an empty table
-    gives no rows, and without training rows every token has probability 1.
+    gives no rows, and without training rows every ``base_score`` is 0.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -274,33 +330,41 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     encoded, listed = staged_by(rows.mapInArrow(_encode, f"kind int, block long, i int, doc_id {kind}, held_out boolean, low binary, mid binary, high binary,"
                                                 " word binary, n long"), "kind", (ENCODED, LISTED), "lm-encoded", "zstd")
     count = staged(listed.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
-    head = count.where("c > 0").orderBy(F.col("c").desc(), "word").limit(HEAD).collect()
-    hashed = F.xxhash64("word")
-    of_class = F.lit(HEAD) + F.pmod(F.shiftright(hashed, 20), F.lit(TAIL))
-    for k, r in enumerate(head):
-        of_class = F.when(F.col("word") == F.lit(bytes(r["word"])), F.lit(k)).otherwise(of_class)
-    count = count.select("word", "c", of_class.cast("int").alias("class"), F.pmod(hashed, F.lit(BEGIN)).cast("int").alias("hash"))
-    classes = {r["class"]: (r["c"], r["v"]) for r in count.groupBy("class").agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).collect()}
-    total, distinct = sum(c for c, _ in classes.values()), sum(v for _, v in classes.values())
-
-    found = staged(listed.select("block", "i", "word").join(count, "word").select(F.col("block").alias("of_block"), "i", "c", "class", "hash"), "lm-found", "zstd")
+    # ranks by count: places inside the sorted partitions, and the rows of the partitions before
+    part = F.spark_partition_id()
+    placed = staged(count.where("c > 0").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("c").desc(), "word")
+                    .sortWithinPartitions(F.col("c").desc(), "word")
+                    .select("word", "c", part.alias("part"), (F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)).alias("place")), "lm-ranks")
+    dropped(count)
+    ranked = (placed.join(F.broadcast(offsets(placed, [], F.lit(1), "before")), "part")
+              .select("word", "c", (F.col("place") + F.col("before")).alias("rank")))
+    of_class = F.least("rank", F.lit(HEAD)) + sum((F.col("rank") >= int(r)).cast("long") for r in FIRST[1:])
+    of_classes = {r["class"]: (r["c"], r["v"]) for r in ranked.groupBy(of_class.alias("class")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()}
+    total, distinct = sum(c for c, _ in of_classes.values()), sum(v for _, v in of_classes.values())
+
+    found = staged(listed.select("block", "i", "word").join(ranked, "word", "left")
+                   .select(F.col("block").alias("of_block"), "i", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("rank", F.lit(distinct)).alias("rank")), "lm-found", "zstd")
     dropped(listed)
     texts = encoded.select("block", "i", "doc_id", "held_out", "low", "mid", "high")
     coded = staged(texts.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(
-        _code(total, distinct, classes), f"block long, i int, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double,"
-        " within double, classes binary, words binary"), "lm-coded", "zstd")
+        _code(total, distinct), f"block long, i int, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double,"
+        " low binary, high binary"), "lm-coded", "zstd")
     for done in (encoded, found):
         dropped(done)
 
-    prior = (np.array([classes.get(k, (0, 0))[0] for k in range(HEAD + TAIL)]) + 0.5) / (total + 0.5 * (HEAD + TAIL))
+    prior = (np.array([of_classes.get(k, (0, 0))[0] for k in range(HEAD + TAIL)]) + 0.5) / (total + 0.5 * (HEAD + TAIL))
     bias = np.log(prior).astype(np.float32)
     tasks = max(spark.sparkContext.defaultParallelism, total // TASK_TOKENS)
+    behind, = _summed(ranked.select("rank", "c"), spark.sparkContext.defaultParallelism, _nodes, ["seen"], DIGIT_ROWS)
+    behind = behind + node_counts(np.array([distinct]), np.array([0.5])) + 0.5
+    nodes = np.log(behind / behind.sum(axis=1, keepdims=True)).astype(np.float32)
     train = coded.where("not held_out")
-    seen, = _summed(train, tasks, _count, ["seen"])
-    weights = start_weights(seen, prior)
+    seen, = _summed(train.select("low", "high"), tasks, _count, ["seen"], BUCKETS)
+    weights, of_digits = start_weights(seen, prior), np.zeros((DIGIT_ROWS, 16), np.float32)
     for k in range(ROUNDS):                       # every training text has its part in one round
-        share = train.where(F.pmod(F.xxhash64("block", "i"), F.lit(ROUNDS)) == k)
-        weights = updated(weights, *_summed(share, tasks, _gradient(weights, bias), ["seen", "expected"]))
-    scored = coded.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes", "words") \
-        .mapInArrow(_score(weights, bias), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        share = train.where(F.pmod(F.xxhash64("block", "i"), F.lit(ROUNDS)) == k).select("low", "high")
+        seen, expected = _summed(share, tasks, _gradient(weights, bias, of_digits, nodes), ["seen", "expected"], BUCKETS + DIGIT_ROWS)
+        weights, of_digits = updated(weights, seen[:BUCKETS], expected[:BUCKETS]), updated(of_digits, seen[BUCKETS:], expected[BUCKETS:])
+    scored = coded.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "low", "high") \
+        .mapInArrow(_score(weights, bias, of_digits, nodes), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))

@@ -90,6 +90,27 @@ def test_probabilities_of_all_tokens_sum_to_one(spark):
     assert all(math.isfinite(s) and s < 0 for s in score.values())
 
 
+def test_no_two_tokens_share_a_code():
+    rank = np.arange(5000)
+    cls = M.classes(rank)
+    codes = [[int(c)] for c in cls]
+    for at, _, digit in M.digits(rank, cls):
+        for i, d in zip(at, digit):
+            codes[i].append(int(d))
+    assert len({tuple(c) for c in codes}) == len(rank) and cls.max() == M.HEAD + 3 and (np.diff(cls.astype(int)) >= 0).all()
+    assert [len(codes[r]) for r in (0, 7, 8, 23, 24, 279, 280, 4375, 4376)] == [1, 1, 2, 2, 3, 3, 4, 4, 5]
+
+
+def test_a_word_within_its_class_has_the_probability_of_its_context(spark):
+    """Four words of one count in one class (x5, x12, x15 and x18 share one by hash, too), each after the same one every time."""
+    often = [(k, f"w{i}") for k, i in enumerate(i for i in range(30) for _ in range(80))]
+    train = often + [(10_000 + k, "x5 x12" if k % 2 else "x15 x18") for k in range(120)]
+    held = [(-2, "x5 x12"), (-3, "x5 x18"), (-4, "x15 x18"), (-5, "x15 x12")]
+    df = spark.createDataFrame(train + held, "doc_id long, text string").repartition(2)
+    score = {r.doc_id: r.score for r in M.score_texts(df, held_out=F.col("doc_id") < 0).where("held_out").collect()}
+    assert min(score[-2] - score[-3], score[-4] - score[-5]) > 0.25, score
+
+
 @pytest.mark.parametrize("sf", [SF_MID])
 def test_table_against_base_scores_and_held_out_gain(spark, sf):
     docs = table(spark, sf, "documents")
