@@ -102,6 +102,25 @@ def test_texts_of_a_small_group_are_sent_once(spark, monkeypatch):
     assert got == brute(data, 5, 8, 10) and seen == [1, 0]
 
 
+def test_block_pairs_are_joined_in_shares(spark, monkeypatch):
+    """The copies of texts are never all on disk at once, and no link is lost."""
+    from quarry.llm import jaccard
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 5)
+    data = [(i, " ".join([*(f"t{j}" for j in range(100)), f"x{i}"])) for i in range(40)]
+    sent = []
+    old = jaccard.staged
+
+    def keep(df, name, *rest):
+        out = old(df, name, *rest)
+        if name == "links":
+            sent.append(out.count())
+        return out
+    monkeypatch.setattr(jaccard, "staged", keep)
+    got = {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in jaccard_classes(frame(spark, data), 3, 90, 100).collect()}
+    assert got == brute(data, 3, 90, 100)
+    assert len(sent) == jaccard.ROUNDS and max(sent) < 0.6 * sum(sent)
+
+
 def test_join_hard_cases(spark):
     data = [(1, None), (2, ""), (3, " \t"), (4, "one two"), (5, "One  TWO"), (6, "É x"), (7, "é x"), (8, "long " * 30_000), (9, "long " * 30_000)]
     df = frame(spark, [*data, (None, "one two")])
