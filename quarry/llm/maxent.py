@@ -31,10 +31,11 @@ from quarry.llm.textbytes import U, chunks, mix, text_buffer
 
 HEAD, TAIL = 8, 8             # classes of one token, classes of 16, 16 ** 2, ... tokens
 BUCKETS = 1 << 15             # rows of weights of classes
-DIGIT_ROWS = 1 << 16          # rows of weights of digits
+DIGIT_ROWS = 1 << 16          # rows of weights of digits, a power of two
 ROUNDS, STEP, SHRINK = 2, 0.5, 80.0
 BLOCK = 8 << 20               # bytes of text whose distinct tokens are looked up together
 BATCH = 1 << 12               # tokens scored at a time
+SUMMED = 1 << 20              # probabilities of a class added up in single precision
 PIECES = 32                   # the table of weights travels in so many pieces
 ROWS = 500                    # coded texts unpacked at a time
 TASK_TOKENS = 8_000_000       # tokens whose gradient one task sums
@@ -113,9 +114,9 @@ def digits(rank: np.ndarray, cls: np.ndarray):
 
 def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Of all classes, for a batch of contexts; ``bias`` is one for all or one for each."""
-    x = np.take(weights, rows[0], axis=0)
+    x = np.take(weights, rows[0], axis=0, mode="clip")     # all rows are there: no copy to check them
     for r in rows[1:]:
-        x += np.take(weights, r, axis=0)
+        x += np.take(weights, r, axis=0, mode="clip")
     x += bias
     np.exp(np.clip(x, -60, 60, out=x), out=x)
     x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
@@ -131,12 +132,14 @@ def add_seen(rows: np.ndarray, cls: np.ndarray, out: np.ndarray) -> None:
 def add_expected(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, out: np.ndarray, node: np.ndarray | None = None) -> None:
     """What the model expects of the same counts (``node``: rows of ``bias``)."""
     k = out.shape[1]
-    for i in range(0, rows.shape[1], 1 << 16):
-        part = rows[:, i:i + (1 << 16)]
-        p = np.concatenate([probabilities(weights, bias if node is None else bias[node[i + j:i + j + BATCH]], part[:, j:j + BATCH])
-                            for j in range(0, part.shape[1], BATCH)]).ravel()
-        for r in part:
-            out += np.bincount(((r * np.int64(k))[:, None] + np.arange(k)).ravel(), weights=p, minlength=out.size).reshape(out.shape)
+    for i in range(0, rows.shape[1], SUMMED):
+        part = np.zeros(out.size, np.float32)
+        for j in range(i, min(i + SUMMED, rows.shape[1]), BATCH):
+            batch = rows[:, j:min(j + BATCH, i + SUMMED)]
+            p = probabilities(weights, bias if node is None else bias.take(node[j:j + batch.shape[1]], axis=0, mode="clip"), batch).ravel()
+            for r in batch:
+                np.add.at(part, (r[:, None] * np.int64(k) + np.arange(k)).ravel(), p)
+        out += part.reshape(out.shape)
 
 
 def start_weights(count: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -225,8 +228,8 @@ def _digit_rows(rank: np.ndarray, cls: np.ndarray, context: np.ndarray):
     """(tokens, rows of weights, rows of the digits' own counts, digit) for
     every place of a digit."""
     for at, node, digit in digits(rank, cls):
-        rows = np.stack([mix(c[at] ^ node) % U(DIGIT_ROWS) for c in context]).astype(np.int32)
-        yield at, rows, (node % U(DIGIT_ROWS)).astype(np.int32), digit
+        rows = np.stack([(c[at] ^ node) & U(DIGIT_ROWS - 1) for c in context]).astype(np.int32)
+        yield at, rows, (node & U(DIGIT_ROWS - 1)).astype(np.int32), digit
 
 
 def _pieces(*tables: np.ndarray) -> pa.RecordBatch:
@@ -248,7 +251,7 @@ def node_counts(rank: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Counts of the tokens behind every digit."""
     out = np.zeros((DIGIT_ROWS, 16))
     for at, node, digit in digits(rank, classes(rank)):
-        out += np.bincount((node % U(DIGIT_ROWS)).astype(np.int64) * 16 + digit, weights=count[at], minlength=out.size).reshape(out.shape)
+        out += np.bincount((node & U(DIGIT_ROWS - 1)).astype(np.int64) * 16 + digit, weights=count[at], minlength=out.size).reshape(out.shape)
     return out
 
 
@@ -303,7 +306,7 @@ def _score(weights: np.ndarray, bias: np.ndarray, of_digits: np.ndarray, nodes:
                 log[i:i + BATCH] = chosen(weights, bias, rows[:, i:i + BATCH], cls[i:i + BATCH])
             for at, rows, node, digit in _digit_rows(rank, cls, context):
                 for i in range(0, len(at), BATCH):
-                    log[at[i:i + BATCH]] += chosen(of_digits, nodes[node[i:i + BATCH]], rows[:, i:i + BATCH], digit[i:i + BATCH])
+                    log[at[i:i + BATCH]] += chosen(of_digits, nodes.take(node[i:i + BATCH], axis=0, mode="clip"), rows[:, i:i + BATCH], digit[i:i + BATCH])
             score = np.add.reduceat(log, first[:-1]) if b.num_rows else np.zeros(0)
             keep = [c for c in b.schema.names if c not in ("low", "high")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(score)], [*keep, "score"])
