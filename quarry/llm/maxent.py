@@ -5,14 +5,16 @@ that of the token within its class given the same context. Tokens are ranked
 by their training counts: the most frequent ones are classes of their own,
 class g of the others holds the next 16 ** (g + 1) ranks, and a token is the
 g + 1 digits of its place there, so no two tokens share a code. One rank
-after the last stands for all tokens that training never saw. The class and
-every digit follow a softmax over features of the context: the last token,
-the last two, and the one before the last alone (a skip), each hashed, for a
-digit with the class and the digits before it, to a row of weights.
+after the last stands for all tokens that training never saw. The class
+follows a softmax over features of the context: the last token, the last two,
+and the one before the last alone (a skip), each hashed to a row of weights.
+A digit is four bits, each a logistic model over the same features, hashed
+with the class and the digits before it to a row of 15 weights, one for every
+place of a bit behind the bits before it.
 
 Token counts come from all training texts and are joined to the blocks of
 texts that use them. The weights of classes start from the counts of features
-and classes, those of digits from the counts of the tokens behind them; then
+and classes, those of bits from the counts of the tokens behind them; then
 every round sums the gradient of all training texts in Spark and updates
 both. Only these tables of weights, whose sizes are parameters, and the
 totals of classes ever reach the driver.
@@ -35,11 +37,11 @@ DIGIT_ROWS = 1 << 16          # rows of weights of digits, a power of two
 ROUNDS, STEP, SHRINK = 2, 0.5, 80.0
 BLOCK = 8 << 20               # bytes of text whose distinct tokens are looked up together
 BATCH = 1 << 12               # tokens scored at a time
-SUMMED = 1 << 20              # probabilities of a class added up in single precision
 PIECES = 32                   # the table of weights travels in so many pieces
 ROWS = 500                    # coded texts unpacked at a time
 TASK_TOKENS = 8_000_000       # tokens whose gradient one task sums
 TEMPLATES = 3
+FAR = 20                      # largest log odds of a bit: four odds multiply in single precision
 BEGIN = 1 << 16               # the token before a text
 ENCODED, LISTED = 0, 1
 FIRST = np.array([HEAD + sum(16 ** (j + 1) for j in range(g)) for g in range(TAIL)])  # ranks that begin the shared classes
@@ -125,21 +127,52 @@ def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np
 
 def add_seen(rows: np.ndarray, cls: np.ndarray, out: np.ndarray) -> None:
     """Counts of (row of weights, class)."""
+    one = out.dtype.type(1)                                # of one type with the counts: no cast for each
     for r in rows:
-        out += np.bincount(r * np.int64(out.shape[1]) + cls, minlength=out.size).reshape(out.shape)
-
-
-def add_expected(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, out: np.ndarray, node: np.ndarray | None = None) -> None:
-    """What the model expects of the same counts (``node``: rows of ``bias``)."""
-    k = out.shape[1]
-    for i in range(0, rows.shape[1], SUMMED):
-        part = np.zeros(out.size, np.float32)
-        for j in range(i, min(i + SUMMED, rows.shape[1]), BATCH):
-            batch = rows[:, j:min(j + BATCH, i + SUMMED)]
-            p = probabilities(weights, bias if node is None else bias.take(node[j:j + batch.shape[1]], axis=0, mode="clip"), batch).ravel()
-            for r in batch:
-                np.add.at(part, (r[:, None] * np.int64(k) + np.arange(k)).ravel(), p)
-        out += part.reshape(out.shape)
+        np.add.at(out.reshape(-1), r * np.int64(out.shape[1]) + cls, one)
+
+
+def add_expected(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """What the model expects of the same counts."""
+    twos = out.view(np.complex128)                         # two counts are added at a time
+    k = np.arange(twos.shape[1])
+    for i in range(0, rows.shape[1], BATCH):
+        batch = rows[:, i:i + BATCH]
+        p = probabilities(weights, bias, batch).astype(np.float64).view(np.complex128).ravel()
+        for r in batch:
+            np.add.at(twos.reshape(-1), (r[:, None] * np.int64(len(k)) + k).ravel(), p)
+
+
+def odds(weights: np.ndarray, own: np.ndarray, cells: np.ndarray, node: np.ndarray, digit: np.ndarray):
+    """For each bit of a batch of digits: (its weights, log odds that it is
+    one, the bit); ``cells`` and ``node`` are where rows of 16 begin."""
+    used = bool(len(weights))                              # before the first step there are none
+    for k in range(4):
+        place = (16 | digit) >> (4 - k)                    # 1 for the first bit, 2 and 3 for the second, ...
+        here = cells + place
+        x = own.take(node + place, mode="clip")
+        for c in here if used else ():
+            x += weights.take(c, mode="clip")
+        yield here, np.clip(x, -FAR, FAR, out=x), digit >> (3 - k) & 1
+
+
+def add_expected_bits(weights: np.ndarray, own: np.ndarray, cells: np.ndarray, node: np.ndarray, digit: np.ndarray, out: np.ndarray) -> None:
+    """How many bits of one the model expects behind every weight."""
+    for i in range(0, len(digit), BATCH):
+        for here, x, _ in odds(weights, own, cells[:, i:i + BATCH], node[i:i + BATCH], digit[i:i + BATCH]):
+            p = (1 / (1 + np.exp(-x))).astype(np.float64)
+            for c in here:
+                np.add.at(out, c, p)
+
+
+def bit_counts(count: np.ndarray):
+    """(rows, 15) counts of zero and of one at every place of a bit, from
+    counts of digits."""
+    sums = np.zeros((len(count), 32))
+    sums[:, 16:] = count
+    for n in (8, 4, 2, 1):
+        sums[:, n:2 * n] = sums[:, 2 * n:4 * n:2] + sums[:, 2 * n + 1:4 * n:2]
+    return sums[:, 2::2], sums[:, 3::2]
 
 
 def start_weights(count: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -155,6 +188,16 @@ def updated(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.n
     return (weights + STEP * (seen - expected) / (np.maximum(seen, expected) + SHRINK)).astype(np.float32)
 
 
+def updated_bits(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """The same step for the log odds of bits: both outcomes move, each by
+    its own evidence."""
+    zero, one = bit_counts(seen)
+    gap = one - expected[:, 1:]
+    out = weights.astype(np.float64)
+    out[:, 1:] += STEP * gap * (1 / (np.maximum(one, one - gap) + SHRINK) + 1 / (np.maximum(zero, zero + gap) + SHRINK))
+    return out.astype(np.float32)
+
+
 def _packed(data: np.ndarray, first: np.ndarray) -> pa.Array:
     """One binary value for each text."""
     data = np.ascontiguousarray(data)
@@ -225,11 +268,13 @@ def _unpacked(batches):
 
 
 def _digit_rows(rank: np.ndarray, cls: np.ndarray, context: np.ndarray):
-    """(tokens, rows of weights, rows of the digits' own counts, digit) for
-    every place of a digit."""
+    """(tokens, beginnings of rows of weights, of rows of the digits' own
+    counts, digit) for every place of a digit."""
+    inside = U(16 * (DIGIT_ROWS - 1))
     for at, node, digit in digits(rank, cls):
-        rows = np.stack([(c[at] ^ node) & U(DIGIT_ROWS - 1) for c in context]).astype(np.int32)
-        yield at, rows, (node & U(DIGIT_ROWS - 1)).astype(np.int32), digit
+        node = node << U(4)
+        cells = np.stack([(c[at] << U(4) ^ node) & inside for c in context])
+        yield at, cells.view(np.int64), (node & inside).view(np.int64), digit
 
 
 def _pieces(*tables: np.ndarray) -> pa.RecordBatch:
@@ -251,7 +296,7 @@ def node_counts(rank: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Counts of the tokens behind every digit."""
     out = np.zeros((DIGIT_ROWS, 16))
     for at, node, digit in digits(rank, classes(rank)):
-        out += np.bincount((node & U(DIGIT_ROWS - 1)).astype(np.int64) * 16 + digit, weights=count[at], minlength=out.size).reshape(out.shape)
+        np.add.at(out.reshape(-1), (node & U(DIGIT_ROWS - 1)).astype(np.int64) * 16 + digit, count[at])
     return out
 
 
@@ -262,16 +307,18 @@ def _nodes(batches):
     yield _pieces(out)
 
 
-def _gradient(weights: np.ndarray, bias: np.ndarray, of_digits: np.ndarray, nodes: np.ndarray):
+def _gradient(weights: np.ndarray, bias: np.ndarray, of_bits: np.ndarray, own: np.ndarray):
+    table = of_bits.ravel() if of_bits.any() else np.zeros(0, np.float32)
+
     def run(batches):
         seen, expected = (np.zeros((BUCKETS + DIGIT_ROWS, HEAD + TAIL)) for _ in range(2))
         for _, rank, context, _ in _unpacked(batches):
             rows, cls = (context % U(BUCKETS)).astype(np.int32), classes(rank)
             add_seen(rows, cls, seen[:BUCKETS])
             add_expected(weights, bias, rows, expected[:BUCKETS])
-            for _, rows, node, digit in _digit_rows(rank, cls, context):
-                add_seen(rows, digit, seen[BUCKETS:])
-                add_expected(of_digits, nodes, rows, expected[BUCKETS:], node)
+            for _, cells, node, digit in _digit_rows(rank, cls, context):
+                add_seen(cells >> 4, digit, seen[BUCKETS:])
+                add_expected_bits(table, own.ravel(), cells, node, digit, expected[BUCKETS:].reshape(-1))
         yield _pieces(seen, expected)
     return run
 
@@ -294,19 +341,19 @@ def _summed(rows: DataFrame, tasks: int, fn, names: list[str], size: int) -> lis
     return [np.frombuffer(b"".join(r[n] for r in rows), np.float64).reshape(size, HEAD + TAIL) if rows else np.zeros((size, HEAD + TAIL)) for n in names]
 
 
-def _score(weights: np.ndarray, bias: np.ndarray, of_digits: np.ndarray, nodes: np.ndarray):
-    def chosen(table, own, rows, value):
-        p = probabilities(table, own, rows)
-        return np.log10(p[np.arange(len(p)), value])
-
+def _score(weights: np.ndarray, bias: np.ndarray, of_bits: np.ndarray, own: np.ndarray):
     def run(batches):
         for b, rank, context, first in _unpacked(batches):
             rows, cls, log = (context % U(BUCKETS)).astype(np.int32), classes(rank), np.empty(len(rank))
             for i in range(0, len(cls), BATCH):
-                log[i:i + BATCH] = chosen(weights, bias, rows[:, i:i + BATCH], cls[i:i + BATCH])
-            for at, rows, node, digit in _digit_rows(rank, cls, context):
+                p = probabilities(weights, bias, rows[:, i:i + BATCH])
+                log[i:i + BATCH] = np.log10(p[np.arange(len(p)), cls[i:i + BATCH]])
+            for at, cells, node, digit in _digit_rows(rank, cls, context):
                 for i in range(0, len(at), BATCH):
-                    log[at[i:i + BATCH]] += chosen(of_digits, nodes.take(node[i:i + BATCH], axis=0, mode="clip"), rows[:, i:i + BATCH], digit[i:i + BATCH])
+                    below = np.float32(1)                  # one by the probability of the four bits
+                    for _, x, bit in odds(of_bits.ravel(), own.ravel(), cells[:, i:i + BATCH], node[i:i + BATCH], digit[i:i + BATCH]):
+                        below = below * (1 + np.exp(np.where(bit, -x, x)))
+                    log[at[i:i + BATCH]] -= np.log10(below)
             score = np.add.reduceat(log, first[:-1]) if b.num_rows else np.zeros(0)
             keep = [c for c in b.schema.names if c not in ("low", "high")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(score)], [*keep, "score"])
@@ -360,14 +407,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tasks = max(spark.sparkContext.defaultParallelism, total // TASK_TOKENS)
     behind, = _summed(ranked.select("rank", "c"), spark.sparkContext.defaultParallelism, _nodes, ["seen"], DIGIT_ROWS)
     behind = behind + node_counts(np.array([distinct]), np.array([0.5])) + 0.5
-    nodes = np.log(behind / behind.sum(axis=1, keepdims=True)).astype(np.float32)
+    zero, one = bit_counts(behind)
+    own = np.zeros((DIGIT_ROWS, 16), np.float32)
+    own[:, 1:] = np.log(one / zero)
     train = coded.where("not held_out")
     seen, = _summed(train.select("low", "high"), tasks, _count, ["seen"], BUCKETS)
-    weights, of_digits = start_weights(seen, prior), np.zeros((DIGIT_ROWS, 16), np.float32)
+    weights, of_bits = start_weights(seen, prior), np.zeros((DIGIT_ROWS, 16), np.float32)
     for k in range(ROUNDS):                       # every training text has its part in one round
         share = train.where(F.pmod(F.xxhash64("block", "i"), F.lit(ROUNDS)) == k).select("low", "high")
-        seen, expected = _summed(share, tasks, _gradient(weights, bias, of_digits, nodes), ["seen", "expected"], BUCKETS + DIGIT_ROWS)
-        weights, of_digits = updated(weights, seen[:BUCKETS], expected[:BUCKETS]), updated(of_digits, seen[BUCKETS:], expected[BUCKETS:])
+        seen, expected = _summed(share, tasks, _gradient(weights, bias, of_bits, own), ["seen", "expected"], BUCKETS + DIGIT_ROWS)
+        weights, of_bits = updated(weights, seen[:BUCKETS], expected[:BUCKETS]), updated_bits(of_bits, seen[BUCKETS:], expected[BUCKETS:])
     scored = coded.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "low", "high") \
-        .mapInArrow(_score(weights, bias, of_digits, nodes), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        .mapInArrow(_score(weights, bias, of_bits, own), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))

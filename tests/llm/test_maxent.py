@@ -101,6 +101,32 @@ def test_no_two_tokens_share_a_code():
     assert [len(codes[r]) for r in (0, 7, 8, 23, 24, 279, 280, 4375, 4376)] == [1, 1, 2, 2, 3, 3, 4, 4, 5]
 
 
+def test_four_bits_of_a_digit_are_one_distribution():
+    """The sixteen digits of a context sum to one, their expected bits are the
+    sums of these probabilities, and the digits' own counts are met exactly
+    where no weight says otherwise."""
+    rng = np.random.default_rng(2)
+    w = rng.normal(size=M.DIGIT_ROWS * 16).astype(np.float32)
+    count = rng.random((M.DIGIT_ROWS, 16)) + 0.1
+    zero, one = M.bit_counts(count)
+    own = np.zeros((M.DIGIT_ROWS, 16), np.float32)
+    own[:, 1:] = np.log(one / zero)
+    digit, cells = np.arange(16), np.repeat(np.array([[16], [160], [4096]]), 16, axis=1)
+    node = np.full(16, 32)
+    for weights in (w, w[:0]):
+        p = np.ones(16)
+        for _, x, bit in M.odds(weights, own.ravel(), cells, node, digit):
+            p *= 1 / (1 + np.exp(np.where(bit, -x, x).astype(float)))
+        assert math.isclose(p.sum(), 1, rel_tol=1e-5)
+    assert np.allclose(p, count[2] / count[2].sum(), rtol=1e-4)
+    out, want = np.zeros(M.DIGIT_ROWS * 16), np.zeros(M.DIGIT_ROWS * 16)
+    M.add_expected_bits(w, own.ravel(), cells, node, digit, out)
+    for here, x, _ in M.odds(w, own.ravel(), cells, node, digit):
+        for c in here:
+            np.add.at(want, c, 1 / (1 + np.exp(-x.astype(float))))
+    assert np.allclose(out, want, rtol=1e-4) and (out[[17, 161, 4097]] > 0).all() and out[[16, 160, 4096]].sum() == 0
+
+
 def test_a_word_within_its_class_has_the_probability_of_its_context(spark):
     """Four words of one count in one class (x5, x12, x15 and x18 share one by hash, too), each after the same one every time."""
     often = [(k, f"w{i}") for k, i in enumerate(i for i in range(30) for _ in range(80))]
