@@ -158,6 +158,20 @@ def test_answer_from_written_index(spark, tmp_path):
     assert a == b and len(a) == 40
 
 
+def test_only_documents_with_hits_are_cut_again(spark):
+    """Same hits and payload as from the whole chunk table: ids that repeat,
+    are negative, or begin alike; and the second cut reads the hits."""
+    from quarry.plans import answer
+    long = " ".join(f"w{i}" for i in range(900))
+    rows = [(1, "apple pear", "a"), (1, "apple", "b"), (-1, "plum cherry", "a"), (11, f"{long} fig", "c"), (None, "fig fig", "d"), (3, None, "e"), (4, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    q = spark.createDataFrame([(1, "apple"), (2, "plum"), (3, "fig w5"), (4, "nothing"), (5, None)], "query_id long, text string")
+    got = answer.chunk_hits(q, docs)
+    want = answer.chunk_hits(q, docs, chunks=answer.chunk_table(docs)).select(*got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() >= 5
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_hybrid_answer_from_index(spark, tmp_path):
     """Hybrid hits = dense hits first, then sparse hits, each chunk once."""
     from quarry.operators.embed import hash_embed_sparse, sparse_to_dense
