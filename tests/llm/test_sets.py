@@ -121,6 +121,29 @@ def test_block_pairs_are_joined_in_shares(spark, monkeypatch):
     assert len(sent) == jaccard.ROUNDS and max(sent) < 0.6 * sum(sent)
 
 
+def test_chance_fragments_do_not_join_a_component(spark, monkeypatch):
+    """Texts that share a passage have equal fragments; only those with a near copy are compared."""
+    from quarry.llm import jaccard
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 5)
+    passage = " ".join(f"p{j}" for j in range(60))
+    data = [(i, f"{passage} " + " ".join(f"x{i}-{j}" for j in range(40))) for i in range(40)]
+    data += [(100 + i, data[i][1] + " end") for i in (3, 17)] + [(200, None), (201, passage), (202, passage)]
+    sizes = {}
+    old = jaccard.staged
+
+    def keep(df, name, *rest):
+        out = old(df, name, *rest)
+        if name in ("candidates", "blocks"):
+            sizes[name] = out.count()
+        return out
+    monkeypatch.setattr(jaccard, "staged", keep)
+    df = frame(spark, [*data, data[3], (None, data[3][1])])
+    got = {(r.doc_id, r.n_links, r.component_id) for r in jaccard_classes(df.repartition(3)).collect()}
+    want = {(i, x, c) for i, (_, x, c) in brute(data, 5, 8, 10).items()}
+    assert got == want | {(None, 0, None)}
+    assert sizes["candidates"] > 20 and sizes["blocks"] == 4
+
+
 def test_join_hard_cases(spark):
     data = [(1, None), (2, ""), (3, " \t"), (4, "one two"), (5, "One  TWO"), (6, "É x"), (7, "é x"), (8, "long " * 30_000), (9, "long " * 30_000)]
     df = frame(spark, [*data, (None, "one two")])
