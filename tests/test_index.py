@@ -125,6 +125,33 @@ def test_segments_are_immutable_and_vacuumed(spark, tmp_path):
     assert sorted(index_store.answer(spark, path, q).collect()) == want
 
 
+def test_index_keeps_one_copy_of_the_texts(spark, tmp_path):
+    """No working copy of the chunks stays, context and text are not stored joined as well."""
+    import glob
+    from quarry.session import ensure_checkpoint_dir
+    path = str(tmp_path / "index")
+    left = ensure_checkpoint_dir(spark).removeprefix("file:") + "/chunks-*/*.parquet"
+    before = set(glob.glob(left))
+    docs = spark.createDataFrame([(i, f"# Title {i}\n" + "some words here. " * 40, "s") for i in range(6)], "doc_id long, text string, source string")
+    index_store.build(docs.where("doc_id < 3"), path, buckets=2, contextual=True, dim=8)
+    index_store.append(docs.where("doc_id >= 3"), path)
+    index_store.merge(spark, path)
+    assert set(glob.glob(left)) == before
+    assert "index_text" not in spark.read.parquet(f"{path}/chunks").columns
+    # the context is searched as well as the text
+    q = spark.createDataFrame([(1, "Part Title")], "query_id long, text string")
+    assert index_store.hits(spark, path, q).count() == 2
+
+
+def test_names_stay_with_the_rows_of_documents(spark):
+    docs = spark.createDataFrame([(1, "# A\none two", "x"), (2, "# B\nthree", "y"), (2, "# C\nfour", None), (None, "# D\nfive", "z"), (3, None, "w")],
+                                 "doc_id long, text string, source string")
+    alone = index_store.contextual_chunks(docs.where("doc_id = 1 or doc_id = 3"))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.doc_id, r.text.split()[1], str(r.source), r.index_text == f"{r.context}\n{r.text}") for r in index_store.contextual_chunks(docs).collect())
+    assert got == [(1, "A", "x", True), *((2, t, n, True) for t in "BC" for n in ("None", "y"))]
+
+
 def test_a_second_commit_of_one_version_fails(spark, tmp_path):
     path = str(tmp_path / "index")
     now = index_store.build(Tables(spark, SF_SMALL).documents.limit(5), path, buckets=2)
